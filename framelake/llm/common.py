@@ -105,3 +105,42 @@ def word_spans(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     last[:-1] = word[:-1] & (~word[1:] | first[1:])
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     return starts, ends, np.searchsorted(at, starts, "right") - 1
+
+
+_TABLE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(int(_BASE), -1, 2**64))
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans, the same wherever a span stands."""
+    n = len(raw)
+    if len(_powers[0]) <= n:
+        for i, b in enumerate((_BASE, _BACK)):
+            p = np.full(max(n + 1, 1 << 21), b, np.uint64)
+            p[0] = 1
+            _powers[i] = np.multiply.accumulate(p)
+    s = np.zeros(n + 1, np.uint64)
+    np.cumsum(_TABLE[raw] * _powers[0][:n], out=s[1:])
+    return mixed((s[ends] - s[starts]) * _powers[1][starts] + (ends - starts).astype(np.uint64))
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name that no given column has, in any case."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = f"_{name}"
+    return name
+
+
+def read_docs(docs: DataFrame, *columns: str) -> DataFrame:
+    """These columns of the documents and no others, whatever else the table has."""
+    return docs.select(*columns)
