@@ -79,7 +79,7 @@ def mix(docs: DataFrame, *, block_words: int = 64, shard_slots: int = 1 << 16, w
     """
     sized = cut(docs.select("doc_id", "source", n_words().alias("size")))
     n_docs = sized.count()
-    buckets = max(1, math.ceil(n_docs / 20_000))
+    buckets = max(1, math.ceil(n_docs / 2_000))
 
     n, m = F.col("source_size"), F.lit(block_words)
     sources = source_targets(sized, weights)
@@ -103,12 +103,13 @@ def mix(docs: DataFrame, *, block_words: int = 64, shard_slots: int = 1 << 16, w
 
     total = sources.agg(F.sum("slots")).first()[0] or 0
     shards, span = max(1, math.ceil(total / shard_slots)), 8192
+    parts = max(1, total // 50_000)  # rows grow in the tasks below, so their number is set by what they make
     ranges = sources.where("slots > 0").withColumn("range", F.explode(F.sequence(F.lit(0), F.floor((F.col("slots") - 1) / span))))
-    ranges = ranges.repartition("key", "range")
+    ranges = ranges.repartition(parts, "key", "range")
     drawn = ranges.select("key", F.explode(F.sequence(F.col("range") * span, F.least(F.col("slots"), (F.col("range") + 1) * span) - 1)).alias("draw"))
     counts = drawn.groupBy("key", F.pmod(F.xxhash64("key", "draw", F.lit(seed)), F.lit(shards)).alias("shard")).agg(F.count("*").alias("n"))
     counts = counts.withColumn("to", F.sum("n").over(W.partitionBy("key").orderBy("shard")))
-    slots = counts.repartition("key", "shard").select("key", "shard", F.explode(F.sequence(F.col("to") - F.col("n"), F.col("to") - 1)).alias("slot"))
+    slots = counts.repartition(parts, "key", "shard").select("key", "shard", F.explode(F.sequence(F.col("to") - F.col("n"), F.col("to") - 1)).alias("slot"))
     slots = slots.join(sources.select("key", "blocks"), "key")
     slots = slots.withColumn("epoch", F.floor(F.col("slot") / F.col("blocks"))).withColumn("block", permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), "key", "epoch", seed=seed))
     return Mix(sources, slots.select("key", "shard", "slot", "epoch", "block"), pieces, d)
