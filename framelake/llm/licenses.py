@@ -28,22 +28,38 @@ _GAP = re.compile(r"[^a-z0-9.:/+\x80-\U0010ffff-]+")
 SCORE = {3: 1.0, 2: 0.8, 1: 0.5}
 
 
+#: Keywords that open the phrases, and that stand for talk of licenses at all.
+OPENERS = ("gnu", "apache", "cc", "license")
+BASE, TALK = -1, -2
+
+
 @cache
 def keywords() -> tuple[ahocorasick.Automaton, list[Rule]]:
-    """The automaton yields the numbers of the rules that a keyword opens; a phrase opens with its last word."""
+    """The automaton yields, for each keyword, the numbers of the rules that it opens alone and of those that it opens with TALK."""
     every, opens = rules(), {}
     for i, r in enumerate(every):
         for w in r.keywords:
-            opens.setdefault(w, []).append(i)
-    for phrase in PHRASES:
-        opens.setdefault(phrase.split()[-1], []).append(-1)
+            opens.setdefault(w.lstrip("!"), (set(), set()))[not w.startswith("!")].add(i)
+    for w in OPENERS:
+        opens.setdefault(w, (set(), set()))[0].add(BASE)
+    opens.setdefault("licen", (set(), set()))[0].add(TALK)
     automaton = ahocorasick.Automaton()
     for w, ids in opens.items():
-        automaton.add_word(w, tuple(ids))
+        automaton.add_word(w, ids)
     automaton.make_automaton()
     return automaton, every
 
 
+def opened(text: str) -> set[int]:
+    alone, along, seen = set(), set(), set()
+    for _, ids in keywords()[0].iter(text):
+        if id(ids) not in seen:
+            seen.add(id(ids))
+            alone |= ids[0]
+            along |= ids[1]
+    return alone | along if TALK in alone else alone
+
+
 def places(words: list[str]) -> list[tuple[int, str]]:
     """(first word, label) of every place of a phrase."""
     out = []
@@ -70,10 +86,10 @@ def resolved(found: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int
     return out
 
 
-def detections(text: str, opened: set[int]) -> list[tuple[int, int, int, str]]:
+def detections(text: str, numbers: set[int]) -> list[tuple[int, int, int, str]]:
     """What the opened rules find in the text, offsets in its normalised form."""
     plain, every = _GAP.sub(" ", text), keywords()[1]
-    return resolved([(m.start(), m.end(), every[i].priority, every[i].label) for i in opened if i >= 0 for m in every[i].regex.finditer(plain)])
+    return resolved([(m.start(), m.end(), every[i].priority, every[i].label) for i in sorted(numbers) if i >= 0 for m in every[i].regex.finditer(plain)])
 
 
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, n_detections long"
@@ -87,7 +103,6 @@ def scan(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, _ = keywords()
         for b in chunks(batches):
             raw, at = utf8(b.column(1))
             word = _WORD[fold(raw)] if len(raw) else np.zeros(0, bool)
@@ -99,9 +114,9 @@ def scan(docs: DataFrame) -> DataFrame:
             rows = []
             for doc, text, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), (total[at[1:]] - total[at[:-1]]).tolist()):
                 small = text.translate(_SMALL) if not text.isascii() else text.lower()
-                opened = {i for _, ids in automaton.iter(small) for i in ids}
-                base = places(WORDS.findall(small)) if -1 in opened else []
-                more = detections(small, opened) if opened else []
+                numbers = opened(small)
+                base = places(WORDS.findall(small)) if BASE in numbers else []
+                more = detections(small, numbers) if any(i >= 0 for i in numbers) else []
                 own = sorted({label for _, label in base})
                 labels = sorted({*own, *(d[3] for d in more)})
                 score = 1.0 if base else max((SCORE[d[2]] for d in more), default=0.0)
