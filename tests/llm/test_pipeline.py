@@ -1,0 +1,23 @@
+import corpus_pipeline
+from framelake.llm.common import WORD
+
+
+def test_stages(spark, docs, tmp_path):
+    item = "an item of the benchmark stands here and nothing of it may stay in the training texts at all"
+    base = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    leak = spark.createDataFrame([(900, " ".join(r["text"] for r in base.where("length(text) between 200 and 3000").limit(1).collect()) + " " + item, "en", "a", None)], base.schema)
+    base.unionByName(leak).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_duplicates", "benchmark_decontamination", "secret_scan", "mix_sources"]
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs.count()
+        docs = stage(spark, docs, str(tmp_path))
+        if name != "mix_sources":
+            assert docs.columns == columns and docs.count() <= before
+        if name == "benchmark_decontamination":
+            assert docs.where("doc_id = 900").isEmpty()
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == docs.count() > 5 and out.where("taken > 2 * size").isEmpty()
+    assert WORD
