@@ -106,11 +106,6 @@ def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, first, np.nonzero(d == -1)[1] - 1
 
 
-def around(raw: np.ndarray, at: np.ndarray, length: int) -> list[bytes]:
-    left = length - GRAM
-    return [raw[max(p - left, 0) : p + length].tobytes() for p in at.tolist()]
-
-
 def removals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(key, copies, spans) of each distinct text, key being its MD5: bytes to remove as an array of (start, end), unmerged.
 
@@ -121,39 +116,58 @@ def removals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
             raw, at = utf8(b.column(1))
-            got = [anchors(raw[a:z], length) for a, z in zip(at, at[1:])]
-            yield pa.record_batch([b.column(0), pa.array([h.tobytes() for _, h in got], pa.binary()), pa.array([p.astype(np.int64).tobytes() for p, _ in got], pa.binary())], ["key", "hashes", "at"])
-
-    marked = keyed.mapInArrow(mark, "key binary, hashes binary, at binary")
-    texts = stored(marked.groupBy("key").agg(F.count("*").alias("copies"), F.first("hashes").alias("hashes"), F.first("at").alias("at")), "texts")
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for key, hashes, at in zip(*(b.column(i).to_pylist() for i in range(3))):
-                if hashes:
-                    h = np.frombuffer(hashes, np.int64)
-                    yield pa.record_batch([pa.array(h), pa.array([key] * len(h), pa.binary()), pa.array(np.frombuffer(at, np.int64))], ["hash", "key", "at"])
-
-    places = texts.select("key", "hashes", "at").mapInArrow(spread, "hash long, key binary, at long")
-    shared = stored(places.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1"), "anchors")
-    wanted = places.join(shared, "hash").groupBy("key").agg(F.collect_list(F.struct("hash", "at", (F.col("n") > COLLECTION).alias("many"))).alias("anchors"))
+            got = [np.unique(anchors(raw[a:z], length)[1], return_counts=True) for a, z in zip(at, at[1:])]
+            each = [pa.array([h[n > 1 if twice else n == 1].view(np.int64) for h, n in got], pa.list_(pa.int64())) for twice in (False, True)]
+            yield pa.record_batch([b.column(0), *each], ["key", "once", "often"])
+
+    marked = keyed.mapInArrow(mark, "key binary, once array<long>, often array<long>")
+    texts = stored(marked.groupBy("key").agg(F.count("*").alias("copies"), F.first("once").alias("once"), F.first("often").alias("often")), "texts")
+    places = texts.select("key", F.explode("once").alias("hash"), F.lit(1).alias("times")).unionByName(texts.select("key", F.explode("often").alias("hash"), F.lit(2).alias("times")))
+    shared = stored(places.groupBy("hash").agg(F.sum("times").alias("n")).where("n > 1"), "anchors")
+    wanted = places.select("key", "hash").join(shared, "hash").groupBy("key").agg(F.collect_list(F.struct("hash", (F.col("n") > COLLECTION).alias("many"))).alias("anchors"))
     found = keyed.join(wanted, "key")
-    names, left = ["hash", "key", "at", "string"], length - GRAM
+    names, left = ["hash", "key", "at", "string", "end"], length - GRAM
 
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def texts_of(batches: Iterator[pa.RecordBatch], many: bool) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray]]:
+        """Key, bytes, and the wanted anchors' positions and hashes of each text; copies that follow one another once."""
         last = None
         for b in chunks(batches):
             raw, at = utf8(b.column(1))
             for key, a, z, own in zip(b.column(0).to_pylist(), at, at[1:], b.column(2)):
-                if key == last:  # a copy of the text before
-                    continue
-                last = key
-                v = own.values
-                few = np.flatnonzero(~v.field("many").to_numpy(zero_copy_only=False))
-                where = v.field("at").to_numpy()[few]
-                for i in range(0, len(few), BATCH):
-                    some = few[i : i + BATCH]
-                    yield pa.record_batch([v.field("hash").take(pa.array(some)), pa.array([key] * len(some), pa.binary()), pa.array(where[i : i + BATCH]), pa.array(around(raw[a:z], where[i : i + BATCH], length), pa.binary())], names)
+                if key != last:
+                    last = key
+                    v = own.values
+                    mine = v.field("hash").to_numpy()[v.field("many").to_numpy(zero_copy_only=False) == many]
+                    if len(mine):
+                        p, h = anchors(raw[a:z], length)
+                        some = np.isin(h.view(np.int64), mine)
+                        yield key, raw[a:z], p[some], h[some].view(np.int64)
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+
+        def made() -> pa.RecordBatch:
+            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64()))], names)
+
+        for key, raw, at, hashes in texts_of(batches, False):
+            seen: dict[tuple, int] = {}
+            for p, h in zip(at.tolist(), hashes.tolist()):
+                start, end = max(p - left, 0), min(p + length, len(raw))
+                string = raw[start:end].tobytes()
+                name = (h, p - start, hashlib.blake2b(string, digest_size=16).digest())
+                if name not in seen:
+                    seen[name] = p
+                    rows.append((h, key, p, string, None))
+                elif end - start >= length:  # all its windows stand twice in this text; the first goes on for the others
+                    rows.append((p, key, start, None, end))
+                    if (q := seen[name]) >= 0:
+                        rows.append((p, key, max(q - left, 0), None, min(q + length, len(raw))))
+                        seen[name] = -1
+                if len(rows) >= BATCH:
+                    yield made()
+                    rows = []
+        if rows:
+            yield made()
 
     def collection(rows: list[tuple]) -> pa.RecordBatch:
         width = left + length
@@ -172,38 +186,36 @@ def removals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def collections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        whole = 0  # rows of collections that are complete
         for b in batches:
-            for r in zip(*(b.column(i).to_pylist() for i in range(4))):
-                if held and r[0] != held[-1][0]:
-                    whole = len(held)
-                    if whole >= BATCH:
-                        yield collection(held)
-                        held, whole = [], 0
-                held.append(r)
+            known = []
+            for r in zip(*(b.column(i).to_pylist() for i in range(5))):
+                if r[3] is None:
+                    known.append((r[1], r[2], r[4]))
+                    continue
+                if len(held) >= BATCH and r[0] != held[-1][0]:
+                    yield collection(held)
+                    held = []
+                held.append(r[:4])
+            if known:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*known), (pa.binary(), pa.int64(), pa.int64()))], ["key", "start", "end"])
         if held:
             yield collection(held)
 
-    dealt = found.mapInArrow(strings, "hash long, key binary, at long, string binary").repartition("hash").sortWithinPartitions("hash")
+    dealt = found.mapInArrow(strings, "hash long, key binary, at long, string binary, end long").repartition("hash").sortWithinPartitions("hash")
     spans = dealt.mapInArrow(collections, "key binary, start long, end long")
 
     if not shared.where(F.col("n") > COLLECTION).isEmpty():
 
         def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            last = None
-            for b in chunks(batches):
-                raw, at = utf8(b.column(1))
-                for key, a, z, own in zip(b.column(0).to_pylist(), at, at[1:], b.column(2).to_pylist()):
-                    if key == last:
-                        continue
-                    last = key
-                    text = raw[a:z].tobytes()
-                    for r in (r for r in own if r["many"]):
-                        starts = range(max(r["at"] - left, 0), min(r["at"], len(text) - length) + 1)
-                        digests = [hashlib.blake2b(text[s : s + length], digest_size=16).digest() for s in starts]
-                        yield pa.record_batch([pa.array([r["hash"]] * len(digests), pa.int64()), pa.array(digests, pa.binary()), pa.array([key] * len(digests), pa.binary()), pa.array(list(starts), pa.int64())], ["hash", "window", "key", "start"])
+            for key, raw, at, hashes in texts_of(batches, True):
+                text = raw.tobytes()
+                for p, h in zip(at.tolist(), hashes.tolist()):
+                    starts = range(max(p - left, 0), min(p, len(text) - length) + 1)
+                    digests = [hashlib.blake2b(text[s : s + length], digest_size=16).digest() for s in starts]
+                    yield pa.record_batch([pa.array([h] * len(digests), pa.int64()), pa.array(digests, pa.binary()), pa.array([key] * len(digests), pa.binary()), pa.array(list(starts), pa.int64())], ["hash", "window", "key", "start"])
 
         each = stored(found.mapInArrow(windows, "hash long, window binary, key binary, start long"), "windows")
+        each = each.distinct()  # two anchors of a periodic text share windows
         twice = each.groupBy("hash", "window").agg(F.count("*").alias("n")).where("n > 1").drop("n")
         spans = spans.unionByName(each.join(twice, ["hash", "window"], "left_semi").select("key", "start", (F.col("start") + length).alias("end")))
 
