@@ -78,6 +78,20 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             yield batch.slice(a, b - a)
 
 
+def rows_of(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """The rows one by one; binary values (also within lists) as buffers of the batch, without a copy."""
+
+    def value(x: pa.Scalar):
+        if not x.is_valid:
+            return None
+        if pa.types.is_binary(x.type) or pa.types.is_large_binary(x.type):
+            return x.as_buffer()
+        return [value(y) for y in x] if pa.types.is_list(x.type) else x.as_py()
+
+    for i in range(batch.num_rows):
+        yield tuple(value(c[i]) for c in batch.columns)
+
+
 def fold(array: np.ndarray) -> np.ndarray:
     """Bytes with A-Z in lower case."""
     return _FOLD[array]
@@ -120,12 +134,25 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+_SEGMENT = 1 << 19
+
+
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, the same wherever a span stands."""
+    """64-bit hashes of byte spans in order, the same wherever a span stands; worked through in short segments."""
+    out = np.empty(len(starts), np.uint64)
+    part = starts // _SEGMENT
+    edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(starts) else ()
+    for a, z in zip(edges, edges[1:]):
+        lo = starts[a]
+        out[a:z] = _span_hashes(raw[lo : ends[z - 1]], starts[a:z] - lo, ends[a:z] - lo)
+    return out
+
+
+def _span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     n = len(raw)
     if len(_powers[0]) <= n:
         for i, b in enumerate((_BASE, _BACK)):
-            p = np.full(max(n + 1, 1 << 21), b, np.uint64)
+            p = np.full(max(n + 1, 2 * _SEGMENT), b, np.uint64)
             p[0] = 1
             _powers[i] = np.multiply.accumulate(p)
     s = np.zeros(n + 1, np.uint64)
