@@ -41,8 +41,8 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     name = F.coalesce(*(F.when(F.col("line").rlike(m), k) for k, (m, _, _) in SECTIONS.items()))
     ended = F.col("line").rlike(r"^\s*(\*\*\*|===|ENERGY\||MD\|)")
     lines = carry(read_lines(spark, path), section=F.coalesce(name, F.when(ended, F.lit("-"))), step_before=F.when(F.col("line").rlike(SCALARS["md_step"]), F.col("line_no")))
-    steps = lines.where(F.col("line").rlike(SCALARS["md_step"])).select("source", F.regexp_extract("line", SCALARS["md_step"], 1).cast("long").alias("md_step"), F.lag("line_no").over(W.partitionBy("source").orderBy("line_no")).alias("p"))
-    return lines.join(steps, (lines["source"] == steps["source"]) & lines["step_before"].eqNullSafe(steps["p"]), "left").select(lines["source"], "line_no", "line", "section", "md_step")
+    steps = lines.where(F.col("line").rlike(SCALARS["md_step"])).select(F.col("source").alias("s"), F.regexp_extract("line", SCALARS["md_step"], 1).cast("long").alias("md_step"), F.lag("line_no").over(W.partitionBy("source").orderBy("line_no")).alias("p"))
+    return lines.join(steps, (F.col("source") == F.col("s")) & F.col("step_before").eqNullSafe(F.col("p")), "left").select("source", "line_no", "line", "section", "md_step")
 
 
 def log_table(log: DataFrame, section: str) -> DataFrame:

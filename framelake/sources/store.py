@@ -101,7 +101,7 @@ def read_table(spark: SparkSession, path: str, delimiter: str = "auto", encoding
         delimiter = max(DELIMITERS.values(), key=lambda d: (line.count(d), -len(d)))
     sep = DELIMITERS.get(delimiter, delimiter)
     raw = spark.read.csv(path, sep=sep, header=False, encoding=encoding)
-    head = spark.read.csv(path, sep=sep, header=True, encoding=encoding, enforceSchema=False)
+    head = spark.read.csv(path, sep=sep, header=True, encoding=encoding)
     names = normalised_header([str(x) if x is not None else "" for x in (raw.first() or [])])
     df = head.toDF(*names) if len(names) == len(head.columns) else raw
     df = df.select(*(F.when(~missing(F.col(f"`{c}`")), F.col(f"`{c}`")).alias(c) for c in df.columns))
