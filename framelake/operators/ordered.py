@@ -49,13 +49,13 @@ def paths(track: DataFrame, by: list[str], order: str, axes: dict[str, float]) -
 
 
 def temporal_score(rows: DataFrame, by: list[str], order: str, value: str, valid: str, tolerance: float) -> DataFrame:
-    """score 1 at no distance to the nearest valid neighbours before and after, 0 from the tolerance on; 1 without neighbours."""
+    """score 1 at no distance to the nearest valid neighbours before and after, 0 once the farther is off by the tolerance; 0.5 without neighbours."""
     seen = F.when(F.col(valid), F.col(value))
     w = W.partitionBy(*by).orderBy(order)
     before = F.last(seen, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
     after = F.first(seen, ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing))
-    d = F.least(F.abs(F.col(value) - before), F.abs(F.col(value) - after))
-    return rows.withColumn("score", F.when(F.col(valid), F.coalesce(F.greatest(1 - d / tolerance, F.lit(0.0)), F.lit(1.0))).otherwise(0.0))
+    d = F.greatest(F.abs(F.col(value) - before), F.abs(F.col(value) - after))
+    return rows.withColumn("score", F.when(F.col(valid), F.when(d.isNull(), 0.5).otherwise(F.greatest(1 - d / tolerance, F.lit(0.0)))).otherwise(0.0))
 
 
 def fill_gaps(rows: DataFrame, by: list[str], order: str, value: str, candidate: str, most: int, tolerance: float) -> DataFrame:

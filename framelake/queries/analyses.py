@@ -1,0 +1,223 @@
+from pyspark.sql import functions as F
+
+from .. import adapters as A
+from ..operators import pairs as P
+from ..operators import select
+from ..plans import alignment, potential, profiles, surface
+from ..plans import pairs as plans
+from ..schema import AMU_G, AMU_KG, ELEMENTS
+from . import query
+from .joins import L, MOLECULES, PAIRS
+
+AT = A.ATOMS_SQL
+MASS = "CASE element " + " ".join(f"WHEN '{s}' THEN {ELEMENTS[s][1]}" for s in A.SPECIES) + " END::DOUBLE"
+
+
+def atoms(spark, sf_dir):
+    return A.atoms(spark, sf_dir).withColumn("mass_amu", F.element_at(P.masses(), F.col("element")))
+
+
+def frames(spark):
+    return spark.range(A.FRAMES).select(F.col("id").alias("frame_index"), F.lit(A.CELL**3).alias("volume"), (F.col("id") * 10).alias("step"), (F.col("id") * 5.0).alias("time_fs"))
+
+
+@query(f"""WITH {AT}, s AS (SELECT least(greatest(floor(z / 0.5)::INT, 0), 19) AS bin, frame_index, sum({MASS}) AS m, count(*) AS c FROM atoms WHERE element = 'O' GROUP BY ALL),
+g AS (SELECT b.bin, f.f, coalesce(m, 0) * {AMU_G} * 1e24 / 50.0 AS v, coalesce(c, 0) AS c FROM range(20) b(bin) CROSS JOIN range(10) f(f) LEFT JOIN s ON s.bin = b.bin AND s.frame_index = f.f)
+SELECT bin::INT AS bin, sum(c)::BIGINT AS point_count, round(avg(v), 9) AS density, round(sum(c) / (10 * 50.0 * 1e-3), 6) AS number_density, round(stddev_samp(v), 9) AS sample_std FROM g GROUP BY bin""")
+def c1_density_profile(spark, sf_dir):
+    out = profiles.density(atoms(spark, sf_dir).where(select.species_filter("O")), "z", 0.0, 0.5, 20, A.FRAMES, A.CELL**2)
+    return out.select("bin", "point_count", F.round("density", 9).alias("density"), F.round("number_density", 6).alias("number_density"), F.round("sample_std", 9).alias("sample_std"))
+
+
+@query(f"WITH {AT} SELECT element AS species, least(greatest(floor(z / 0.5)::INT, 0), 19) AS bin, count(*) AS point_count, round(sum({MASS}) * {AMU_G} * 1e24 / 50.0 / 10, 9) AS density FROM atoms GROUP BY ALL")
+def c2_all_densities(spark, sf_dir):
+    out = profiles.densities(atoms(spark, sf_dir), "z", 0.0, 0.5, 20, A.FRAMES, A.CELL**2)
+    return out.select("species", "bin", "point_count", F.round("density", 9).alias("density"))
+
+
+@query(f"""WITH {PAIRS}, c AS (SELECT least(floor(r / 0.05)::INT, 79) AS bin, count(*) AS counts FROM p WHERE ea = 'O' AND eb = 'H' AND r <= 4.0 GROUP BY 1),
+e AS (SELECT sum(na * nb / 1000.0::DOUBLE) AS d FROM (SELECT frame_index, count(*) FILTER (element = 'O') AS na, count(*) FILTER (element = 'H') AS nb FROM atoms GROUP BY 1) WHERE na > 0 AND nb > 0)
+SELECT b.bin::INT AS bin, coalesce(counts, 0) AS counts, round(coalesce(counts, 0) / (d * 4.0 / 3.0 * pi() * (((b.bin + 1) * 0.05) ** 3 - (b.bin * 0.05) ** 3)), 6) AS g FROM range(80) b(bin) LEFT JOIN c ON c.bin = b.bin CROSS JOIN e""")
+def c3_rdf(spark, sf_dir):
+    a = atoms(spark, sf_dir)
+    out = plans.rdf(a.where("element = 'O'"), a.where("element = 'H'"), frames(spark), L, 4.0)
+    return out.select("bin", "counts", F.round("g", 6).alias("g"))
+
+
+@query()
+def c4_coordination_from_rdf(spark, sf_dir):
+    """Cutoff from the pair's own curve, then coordination of every centre."""
+    a = atoms(spark, sf_dir)
+    o, h = a.where("element = 'O'"), a.where("element = 'H'")
+    curve = plans.rdf(o, h, frames(spark), L, 4.5).select(F.lit("O-H").alias("pair"), ((F.col("lo") + F.col("hi")) / 2).alias("centre"), "g")
+    found = plans.cutoff(curve, "pair").first()
+    rc = found["cutoff"] if found["cutoff"] == found["cutoff"] else 2.5
+    return plans.coordination(o, h, L, rc)
+
+
+@query(f"WITH {AT} SELECT atom_index, frame_index, frame_index * 10 AS step, frame_index * 5.0::DOUBLE AS time_fs, round(x - floor(x / 10.0) * 10.0, 9) AS x, round(z - floor(z / 10.0) * 10.0, 9) AS z FROM atoms WHERE element = 'K'")
+def c5_positions(spark, sf_dir):
+    out = profiles.positions(atoms(spark, sf_dir).where("element = 'K'"), frames(spark), L)
+    return out.select("atom_index", "frame_index", "step", "time_fs", F.round("x", 9).alias("x"), F.round("z", 9).alias("z"))
+
+
+def bent(spark, sf_dir):
+    """Every embedding as a water: the first three components an oxygen, the next ones its hydrogens."""
+    e = A.table(spark, sf_dir, "embeddings")
+    at = lambda i, k, d: (F.element_at("embedding", i).cast("double") * k + d)
+    v = lambda i, k, d: F.struct(*(at(i + j, k, 5.0 + d[j]).alias(c) for j, c in enumerate("xyz")))
+    return e.select((F.col("vec_id") % 10).alias("frame_index"), F.col("vec_id").alias("anchor"), v(1, 10, (0, 0, 0)).alias("o"), v(4, 1, (0.8, 0.0, 0.4)).alias("h1"), v(7, 1, (-0.8, 0.0, 0.4)).alias("h2"))
+
+
+_D = ", ".join(f"d{h}{c} - 10.0 * round_even(d{h}{c} / 10.0, 0) AS u{h}{c}" for h in (1, 2) for c in "xyz")
+_E = ", ".join(f"(embedding[{3 * h + j + 1}]::DOUBLE + 5.0 + {(0.8, 0.0, 0.4)[j] if h == 1 else (-0.8, 0.0, 0.4)[j]}) - (embedding[{j + 1}]::DOUBLE * 10 + 5.0) AS d{h}{c}" for h in (1, 2) for j, c in enumerate("xyz"))
+BENT = f"d AS (SELECT vec_id, embedding[3]::DOUBLE * 10 + 5.0 AS height, {_E} FROM embeddings), u AS (SELECT vec_id, height, {_D} FROM d), n AS (SELECT *, sqrt(u1x*u1x+u1y*u1y+u1z*u1z) AS n1, sqrt(u2x*u2x+u2y*u2y+u2z*u2z) AS n2 FROM u), b AS (SELECT vec_id, height, u1x/n1+u2x/n2 AS bx, u1y/n1+u2y/n2 AS b_y, u1z/n1+u2z/n2 AS bz FROM n), a AS (SELECT vec_id, height, bz / sqrt(bx*bx+b_y*b_y+bz*bz) AS c FROM b)"
+
+
+@query(f"WITH {BENT} SELECT floor(height / 0.5)::INT AS bin, count(c) AS n_valid, round(avg(c), 6) AS mean_polar FROM a GROUP BY 1")
+def c6_orientation(spark, sf_dir):
+    out = profiles.orientation(profiles.angles(bent(spark, sf_dir), 2, L), 0.5)
+    return out.select("bin", "n_valid", F.round("mean_polar", 6).alias("mean_polar"))
+
+
+@query(f"WITH {BENT} SELECT floor(height / 0.5)::INT AS bin, least(greatest(floor((c + 1) / 0.2)::INT, 0), 9) AS angle_bin, count(*)::DOUBLE AS counts FROM a GROUP BY ALL")
+def a16_orientation_map(spark, sf_dir):
+    return profiles.orientation_map(profiles.angles(bent(spark, sf_dir), 2, L), 0.5, bins=10)
+
+
+@query(f"""WITH {AT}, v AS (SELECT frame_index, element AS g, {MASS} * {AMU_KG} AS m, (x - 5) * 100 AS vx, (y - 5) * 100 AS vy, (z - 5) * 100 AS vz FROM atoms)
+SELECT frame_index, g AS "group", count(*) AS n, CASE WHEN count(*) > 1 THEN round((sum(m * (vx*vx+vy*vy+vz*vz)) - (sum(m*vx)**2 + sum(m*vy)**2 + sum(m*vz)**2) / sum(m)) / ((3 * count(*) - 3) * 1.380649e-23), 6) END AS temperature_k FROM v GROUP BY ALL""")
+def c7_temperature(spark, sf_dir):
+    v = atoms(spark, sf_dir).select("frame_index", "atom_index", "element", "mass_amu", *((F.col(c) - 5).alias(f"v{c}") for c in "xyz"))
+    return profiles.temperatures(v, 100.0).withColumn("temperature_k", F.round("temperature_k", 6))
+
+
+def density_line(spark, sf_dir):
+    """Prices of each return flag as a smooth line over bins of 2 angstrom."""
+    s = A.samples(spark, sf_dir).groupBy(F.col("g").alias("source"), (F.floor(F.col("x") / 4000.0) * 2.0).alias("z"))
+    return s.agg((F.count("*") / 1000.0).alias("density"), F.avg("d").alias("value_ev"))
+
+
+_LINE = f"{A.SAMPLES_SQL}, l AS (SELECT g AS source, floor(x / 4000.0) * 2.0 AS z, count(*) / 1000.0 AS density, avg(d) AS value_ev FROM samples GROUP BY ALL)"
+_WINDOW = f"{_LINE}, n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY z) AS n FROM l), f AS (SELECT *, n - row_number() OVER (PARTITION BY source ORDER BY z) AS k FROM n WHERE density >= 0.1), r AS (SELECT source, k, min(z) AS a, max(z) AS b FROM f GROUP BY ALL), w AS (SELECT source, count(*) AS n_runs, min(a) + 5 AS lo, max(b) - 5 AS hi FROM r GROUP BY 1)"
+
+
+@query(f"WITH {_WINDOW} SELECT source, n_runs, lo::DOUBLE AS lo, hi::DOUBLE AS hi, n_runs = 1 AND lo < hi AS valid FROM w")
+def w15_reservoir_window(spark, sf_dir):
+    return potential.window(density_line(spark, sf_dir), 0.1).select("source", "n_runs", "lo", "hi", "valid")
+
+
+@query(f"WITH {_WINDOW} SELECT l.source, round(avg(value_ev), 6) AS mean, round(stddev_samp(value_ev), 6) AS std, count(*) AS n FROM l JOIN w USING (source) WHERE n_runs = 1 AND lo < hi AND z BETWEEN lo AND hi GROUP BY 1")
+def c8_potential_window(spark, sf_dir):
+    line = density_line(spark, sf_dir)
+    out = potential.in_window(line, potential.window(line, 0.1))
+    return out.select("source", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "n")
+
+
+@query(f"WITH {_WINDOW}, k AS (SELECT * FROM (VALUES ('up', 0.5, 0.5), ('down', -0.5, -0.5), ('narrow', 0.5, -0.5), ('wide', -0.5, 0.5)) t(perturbation, da, db)) SELECT source, perturbation, (lo + da)::DOUBLE AS lo, (hi + db)::DOUBLE AS hi FROM w CROSS JOIN k WHERE n_runs = 1 AND lo < hi")
+def c9_potential_sensitivity(spark, sf_dir):
+    return potential.sensitivity(potential.window(density_line(spark, sf_dir), 0.1)).select("source", "perturbation", "lo", "hi")
+
+
+@query("SELECT coalesce(c_custkey, o_custkey) AS source, round(c_acctbal - n - 0.65, 6) AS potential_cshe, CASE WHEN c_acctbal IS NULL OR n IS NULL THEN 'incomplete' ELSE 'complete' END AS status FROM customer FULL JOIN (SELECT o_custkey, count(*)::DOUBLE AS n FROM orders GROUP BY 1) ON c_custkey = o_custkey")
+def c8_potential_records(spark, sf_dir):
+    means = A.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("source"), F.col("c_acctbal").alias("mean"))
+    fermi = A.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("source")).agg(F.count("*").cast("double").alias("fermi_ev"))
+    return potential.records(means, fermi).select("source", F.round("potential_cshe", 6).alias("potential_cshe"), "status")
+
+
+@query(f"WITH {AT} SELECT frame_index, atom_index, round(x + 7 - floor((x + 7) / 10.0) * 10.0, 9) AS x FROM atoms")
+def c10_apply_pbc(spark, sf_dir):
+    moved = A.atoms(spark, sf_dir).withColumn("x", F.col("x") + 7)
+    return profiles.apply_pbc(moved, L).select("frame_index", "atom_index", F.round("x", 9).alias("x"))
+
+
+@query(f"WITH {MOLECULES} SELECT frame_index, anchor FROM mol WHERE label = 'mol:H2O'")
+def c11_waters(spark, sf_dir):
+    return profiles.waters(atoms(spark, sf_dir), L).select("frame_index", "anchor")
+
+
+def slab(spark, sf_dir):
+    """Platinum and gold as a slab: heights drawn to three layers by index."""
+    a = A.atoms(spark, sf_dir).where("element IN ('Pt', 'Au', 'Cu')")
+    return a.withColumn("z", (F.col("atom_index") % 3) * 2.0 + 2.0 + (F.col("z") - 5) * 0.02)
+
+
+SLAB = f"{AT}, slab AS (SELECT frame_index, atom_index, element, (atom_index % 3) * 2.0::DOUBLE + 2.0 + (z - 5) * 0.02 AS z FROM atoms WHERE element IN ('Pt', 'Au', 'Cu'))"
+
+
+@query(f"""WITH {SLAB}, g AS (SELECT *, z - lag(z) OVER (PARTITION BY frame_index ORDER BY z, atom_index) AS gap FROM slab), k AS (SELECT *, row_number() OVER (PARTITION BY frame_index ORDER BY gap) AS r, count(*) OVER (PARTITION BY frame_index) AS n FROM g WHERE gap IS NOT NULL),
+b AS (SELECT frame_index, median(gap) FILTER (r <= greatest(1, n // 2)) AS base FROM k GROUP BY 1), c AS (SELECT frame_index, max(z) AS cut FROM g JOIN b USING (frame_index) WHERE gap >= greatest(0.25, 3 * base) GROUP BY 1)
+SELECT frame_index, round(median(z), 9) AS value, count(*) AS size FROM slab JOIN c USING (frame_index) WHERE z >= cut GROUP BY 1""")
+def g2_layered_surface(spark, sf_dir):
+    return surface.layered(slab(spark, sf_dir)).select("frame_index", F.round("value", 9).alias("value"), "size")
+
+
+@query()
+def g3_rough_surface(spark, sf_dir):
+    return surface.rough(slab(spark, sf_dir))
+
+
+@query()
+def g4_composite_score(spark, sf_dir):
+    return surface.composite(surface.layered(slab(spark, sf_dir)), 0.75)
+
+
+@query("SELECT true AS trusted")
+def g5_trust(spark, sf_dir):
+    return surface.trusted(surface.layered(slab(spark, sf_dir)))
+
+
+@query()
+def g1_surface_elements(spark, sf_dir):
+    return surface.surface_elements(A.atoms(spark, sf_dir))
+
+
+@query(f"WITH {AT}, p AS (SELECT atom_index, z - (3 + frame_index * 0.01) AS up, (7 - frame_index * 0.01) - z AS down FROM atoms) SELECT atom_index, round(greatest(up, down), 9) AS distance, CASE WHEN up - down > 1e-10 THEN 1 WHEN up - down < -1e-10 THEN -1 ELSE 0 END AS side FROM p")
+def f12_surface_distance(spark, sf_dir):
+    f = frames(spark).select("frame_index")
+    top = f.select("frame_index", (3 + F.col("frame_index") * 0.01).alias("value"), F.lit(0.0).alias("spread"))
+    bottom = f.select("frame_index", (7 - F.col("frame_index") * 0.01).alias("value"), F.lit(0.0).alias("spread"))
+    p = A.atoms(spark, sf_dir).withColumn("c", F.col("z")).withColumn("is_substrate", F.lit(False))
+    return surface.distances(p, top, bottom, "symmetric", 10.0).select("atom_index", F.round("distance", 9).alias("distance"), "side")
+
+
+@query(f"WITH {AT} SELECT atom_index, round(z - 3 + CASE WHEN z < 2 - 1e-9 THEN 10 ELSE 0 END, 9)::DOUBLE AS distance FROM atoms")
+def f12_single_top_distance(spark, sf_dir):
+    f = frames(spark).select("frame_index")
+    plane = lambda v: f.select("frame_index", F.lit(v).alias("value"), F.lit(0.0).alias("spread"))
+    p = A.atoms(spark, sf_dir).withColumn("c", F.col("z")).withColumn("is_substrate", F.lit(False))
+    return surface.distances(p, plane(3.0), plane(2.0), "single-top", 10.0).select("atom_index", F.round("distance", 9).alias("distance"))
+
+
+def faces(spark, sf_dir):
+    a = A.atoms(spark, sf_dir).where("element IN ('Pt', 'Au')")
+    return a.select("frame_index", "atom_index", "element", F.when(F.col("z") > 5, "top").otherwise("bottom").alias("side"), (F.col("x") / 10).alias("fx"), (F.col("y") / 10).alias("fy"))
+
+
+@query()
+def j14_interface_matching(spark, sf_dir):
+    return alignment.matches(faces(spark, sf_dir), [10.0, 0.0, 0.0, 10.0], 2.0)
+
+
+@query()
+def l3_alignment_suggestions(spark, sf_dir):
+    return alignment.suggestions(faces(spark, sf_dir), [10.0, 0.0, 0.0, 10.0], 1.0)
+
+
+@query(f"WITH {AT}, g AS (SELECT floor(x)::INT AS ix, floor(y)::INT AS iy, count(*)::DOUBLE AS mass FROM atoms GROUP BY ALL), m AS (SELECT (ix + 2) % 10 AS ix, iy, mass * 0.5 AS mass FROM g UNION ALL SELECT (ix + 3) % 10, iy, mass * 0.5 FROM g) SELECT ix, iy, round(sum(mass), 9) AS mass FROM m GROUP BY ALL")
+def l4_conservative_transfer(spark, sf_dir):
+    g = A.atoms(spark, sf_dir).groupBy(F.floor("x").cast("int").alias("ix"), F.floor("y").cast("int").alias("iy")).agg(F.count("*").cast("double").alias("mass"))
+    return alignment.transfer(g, (10, 10), (0.25, 0.0)).select("ix", "iy", F.round("mass", 9).alias("mass"))
+
+
+@query(f"WITH {AT}, s AS (SELECT atom_index, CASE WHEN z > 5 THEN 1 ELSE -1 END AS side, x, y FROM atoms) SELECT atom_index, round(CASE WHEN side < 0 THEN (y / 10.0 + 0.25 - floor(y / 10.0 + 0.25)) * 10 ELSE x END, 9) AS x FROM s")
+def l4_align_positions(spark, sf_dir):
+    p = A.atoms(spark, sf_dir).withColumn("side", F.when(F.col("z") > 5, 1).otherwise(-1))
+    return alignment.align_positions(p, ((0, 1), (1, 0)), (0.25, 0.5), (10.0, 10.0)).select("atom_index", F.round("x", 9).alias("x"))
+
+
+@query("SELECT DISTINCT sha256(n_regionkey::VARCHAR) AS reference_id FROM nation")
+def k18_reference_store(spark, sf_dir):
+    n = A.table(spark, sf_dir, "nation").select(F.sha2(F.col("n_regionkey").cast("string"), 256).alias("reference_id"))
+    return alignment.store_references(n.where(F.lit(False)), n)

@@ -21,7 +21,7 @@ def w1_unwrap(spark, sf_dir):
 
 @query(f"""WITH {SE}, v AS (SELECT event_id, id, cents, cents > 2000 AS valid, CASE WHEN cents > 2000 THEN cents END AS c FROM series),
 n AS (SELECT *, last_value(c IGNORE NULLS) OVER (PARTITION BY id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b, first_value(c IGNORE NULLS) OVER (PARTITION BY id ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS a FROM v)
-SELECT event_id, round(CASE WHEN valid THEN coalesce(greatest(1 - least(abs(cents - b), abs(cents - a)) / 5000.0::DOUBLE, 0), 1) ELSE 0 END, 9)::DOUBLE AS score FROM n""")
+SELECT event_id, round(CASE WHEN valid THEN CASE WHEN a IS NULL AND b IS NULL THEN 0.5 ELSE greatest(1 - greatest(abs(cents - b), abs(cents - a)) / 5000.0::DOUBLE, 0) END ELSE 0 END, 9)::DOUBLE AS score FROM n""")
 def w2_temporal_score(spark, sf_dir):
     v = A.series(spark, sf_dir).withColumn("valid", F.col("cents") > 2000)
     return ordered.temporal_score(v, ["id"], "event_id", "cents", "valid", 5000.0).select("event_id", F.round("score", 9).alias("score"))
