@@ -56,3 +56,19 @@ SAMPLES_SQL = """samples AS (
   SELECT l_orderkey AS o, l_linenumber AS n, l_partkey AS p, l_suppkey AS s, l_extendedprice AS x, l_quantity::BIGINT AS w,
          round(l_discount * 100)::BIGINT AS d, l_returnflag AS g, l_linestatus AS side
   FROM lineitem)"""
+
+
+def synthetic_trajectory(spark: SparkSession, frames: int = 1024) -> DataFrame:
+    """Atoms of invented frames, 604 each: four platinum layers, 150 waters and ten ions in a cell of 12 by 12 by 40."""
+    from .operators.pairs import masses
+
+    a = spark.range(frames * 604).select((F.col("id") / 604).cast("long").alias("frame_index"), (F.col("id") % 604).alias("atom_index"))
+    water = F.col("atom_index").between(144, 593)
+    a = a.withColumn("w", F.when(water, ((F.col("atom_index") - 144) / 3).cast("int"))).withColumn("k", F.when(water, (F.col("atom_index") - 144) % 3))
+    own = F.coalesce("w", F.col("atom_index") + 1000)
+    place = lambda seed, length: F.pmod(F.xxhash64("frame_index", own, F.lit(seed)), F.lit(1_000_003)) / 1_000_003.0 * length
+    arm = F.when(F.col("k") == 1, 0.8).when(F.col("k") == 2, -0.8).otherwise(0.0)
+    element = F.when(F.col("atom_index") < 144, "Pt").when(F.col("k") == 0, "O").when(water, "H").otherwise("Na")
+    z = F.when(F.col("atom_index") < 144, (F.col("atom_index") % 4) * 2.0).otherwise(10 + place(3, 28.0) + F.when(F.col("k") >= 1, 0.5).otherwise(0.0))
+    a = a.select("frame_index", "atom_index", element.alias("element"), (place(1, 12.0) + arm).alias("x"), place(2, 12.0).alias("y"), z.alias("z"))
+    return a.withColumn("mass_amu", F.element_at(masses(), F.col("element")))

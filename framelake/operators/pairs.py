@@ -77,6 +77,18 @@ def pairs_within(a: DataFrame, b: DataFrame, lengths: tuple[float, float, float]
     return (dense_pairs if dense else cell_pairs)(a, b, lengths, r_max, keep)
 
 
+def largest_frame(atoms: DataFrame) -> int:
+    """Most atoms in a frame: one aggregate."""
+    return atoms.groupBy("frame_index").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+
+
+def auto_pairs(a: DataFrame, b: DataFrame, lengths: tuple, r_max: float, keep: tuple[str, ...] = ()) -> DataFrame:
+    """pairs_within() by the largest frames of both sides, so that no frame makes all its pairs once it is large."""
+    if r_max > min(lengths) / 2:
+        return dense_pairs(a, b, lengths, r_max, keep)
+    return pairs_within(a, b, lengths, r_max, largest_frame(a), largest_frame(b), keep)
+
+
 def without_shared(pairs: DataFrame) -> DataFrame:
     """Pairs of entities that have no member atom in common (members_a, members_b)."""
     return pairs.where(~F.arrays_overlap("members_a", "members_b"))
@@ -104,14 +116,14 @@ def nearest_in_shells(targets: DataFrame, substrate: DataFrame, lengths: tuple[f
 
 def coordination(centres: DataFrame, neighbours: DataFrame, lengths: tuple, cutoff: float, width: float = 0.0) -> DataFrame:
     """(frame_index, atom_index, coordination): taper weights summed over neighbours; 0 without any."""
-    pairs = dense_pairs(centres, neighbours, lengths, cutoff + width / 2)
+    pairs = auto_pairs(centres, neighbours, lengths, cutoff + width / 2)
     sums = pairs.groupBy("frame_index", F.col("atom_index_a").alias("atom_index")).agg(F.sum(taper(F.col("r"), cutoff, width)).alias("s"))
     return centres.select("frame_index", "atom_index").join(sums, ["frame_index", "atom_index"], "left").select("frame_index", "atom_index", F.coalesce("s", F.lit(0.0)).alias("coordination"))
 
 
 def bonds(atoms: DataFrame, lengths: tuple, cutoff: float = OH_CUTOFF) -> DataFrame:
     """(frame_index, o, h, r): oxygen and hydrogen within the cutoff, inclusive."""
-    pairs = dense_pairs(atoms.where("element = 'O'"), atoms.where("element = 'H'"), lengths, cutoff)
+    pairs = auto_pairs(atoms.where("element = 'O'"), atoms.where("element = 'H'"), lengths, cutoff)
     return pairs.select("frame_index", F.col("atom_index_a").alias("o"), F.col("atom_index_b").alias("h"), "r")
 
 

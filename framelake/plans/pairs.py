@@ -19,7 +19,7 @@ def rdf(a: DataFrame, b: DataFrame, frames: DataFrame, lengths: tuple[float, flo
     without pairs included.
     """
     n, width = histogram.uniform_rdf_bins(r_max, width)
-    counted = pairs.cell_pairs(a, b, lengths, r_max) if r_max <= min(lengths) / 4 else pairs.dense_pairs(a, b, lengths, r_max)
+    counted = pairs.auto_pairs(a, b, lengths, r_max)
     by_frame = counted.groupBy("frame_index", histogram.bin_index(F.col("r"), 0.0, width, n).alias("bin")).agg(F.count("*").alias("counts"))
     na, nb = (s.groupBy("frame_index").agg(F.count("*").alias(c)) for s, c in ((a, "na"), (b, "nb")))
     same = a.select("frame_index", "atom_index").join(b.select("frame_index", "atom_index"), ["frame_index", "atom_index"]).groupBy("frame_index").agg(F.count("*").alias("both"))
