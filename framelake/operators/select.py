@@ -193,3 +193,10 @@ def validate_nearest_axes(axes: list[str], unit: str = "mass") -> None:
         raise ValueError("a nearest-distance distribution has no volume to divide by")
 
 
+
+
+def value_filter(points: DataFrame, value: str, low: float | None = None, high: float | None = None) -> DataFrame:
+    """Points whose value lies within the bounds that are given, inclusive; missing values stay only without bounds."""
+    if low is not None:
+        points = points.where(F.col(value) >= low)
+    return points if high is None else points.where(F.col(value) <= high)

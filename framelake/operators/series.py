@@ -66,3 +66,52 @@ def common_edges(bounds: DataFrame, lo: str, hi: str, width: float) -> DataFrame
     """Edges shared by all sources, from their bounds."""
     b = bounds.agg(F.floor(F.min(lo) / width).alias("a"), F.ceil(F.max(hi) / width).alias("z"))
     return b.select(F.explode(F.sequence("a", "z")).alias("k")).select((F.col("k") * F.lit(width)).alias("edge"))
+
+
+def prepare(series: DataFrame, by: list[str], x: str, y: str, *, width: float | None = None, reducer: str = "mean", mode: str = "none", target: float = 1.0, least: int = 1) -> DataFrame:
+    """A series as it is shown: groups of x with n, y, std and sem, scaled alike, thin groups left out."""
+    out = grouped(series, by, x, y, reducer, width).where(F.col("n") >= least)
+    out = normalise(out, by, "x", "y", mode, target)
+    scale = F.try_divide("normalised", "y")
+    return out.select(*by, "x", "n", F.col("normalised").alias("y"), (F.col("std") * scale).alias("std"), (F.col("sem") * scale).alias("sem"))
+
+
+def interface_view(bins: DataFrame, view: str, value: str, by: str = "bin", side: str = "side") -> DataFrame:
+    """One side of an interface, both folded into one, all rows (full), or both sides beside one another (comparison)."""
+    if view in ("top", "bottom"):
+        return bins.where(F.col(side) == view)
+    if view == "folded":
+        return bins.groupBy(by).agg(F.avg(value).alias(value))
+    if view == "comparison":
+        return bins.groupBy(by).agg(*(F.max(F.when(F.col(side) == s, F.col(value))).alias(f"{value}_{s}") for s in ("top", "bottom")))
+    if view == "full":
+        return bins
+    raise ValueError(f"unknown view {view!r}")
+
+
+def available_statistics(stats: DataFrame) -> list[str]:
+    """Error statistics that the columns allow, the preferred one first."""
+    have = set(stats.columns)
+    ci = ["block_ci"] if {"numerator", "denominator", "block"} <= have else []
+    return ci + [c for c in ("block_sem", "block_std", "sample_sem", "sample_std") if c in have] + ["none"]
+
+
+def provenance(stats: DataFrame, wanted: str) -> str:
+    """Where an error bar comes from, in words."""
+    if wanted not in available_statistics(stats):
+        return "none"
+    return {"block_ci": "bootstrap over contiguous blocks", "none": "none"}.get(wanted, f"{wanted.split('_')[1]} over {wanted.split('_')[0]}s")
+
+
+def unpivot(records: DataFrame, keys: list[str], quantities: list[str]) -> DataFrame:
+    """(keys, quantity, value) in a row for each quantity that is known."""
+    return records.select(*keys, F.inline(F.array(*(F.struct(F.lit(q).alias("quantity"), F.col(q).cast("double").alias("value")) for q in quantities)))).where("value is not null")
+
+
+def bulk_rows(series: DataFrame, by: list[str], x: str, y: str, mode: str = "auto", low: float | None = None, high: float | None = None) -> DataFrame:
+    """(by, start, stop) of the bulk: the longest plateau, or the range that is given."""
+    from .ordered import plateau
+
+    if mode == "auto":
+        return plateau(series, by, x, y).select(*by, "start", "stop")
+    return series.select(*by).distinct().select(*by, F.lit(low).alias("start"), F.lit(high).alias("stop"))

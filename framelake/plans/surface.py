@@ -229,3 +229,33 @@ def layout(populations: DataFrame, top_trusted: bool, bottom_trusted: bool, wate
         if contact[s] and ok:
             return f"single-{s}"
     return "single-top" if top_trusted else "single-bottom" if bottom_trusted else "axis"
+
+
+def nearest_distances(points: DataFrame, substrate: DataFrame, lengths: tuple[float, float, float], *, symmetric: bool = False, middle: float | None = None) -> DataFrame:
+    """(frame_index, atom_index, distance, side): distance to the nearest substrate atom; symmetric takes each half of the slab alone, the nearer side wins."""
+    from ..operators.pairs import nearest_in_shells
+
+    first = min(lengths) / 8
+    if not symmetric:
+        return nearest_in_shells(points, substrate, lengths, first).select("frame_index", "atom_index", "distance", F.lit(0).alias("side"))
+    up, down = (nearest_in_shells(points, substrate.where(w), lengths, first).select("frame_index", "atom_index", F.col("distance").alias(n)) for w, n in ((F.col("z") >= middle, "_u"), (F.col("z") < middle, "_d")))
+    both = up.join(down, ["frame_index", "atom_index"], "full")
+    side = F.when(F.col("_d").isNull() | (F.col("_u") < F.col("_d") - 1e-10), 1).when(F.col("_u").isNull() | (F.col("_d") < F.col("_u") - 1e-10), -1).otherwise(0)
+    return both.select("frame_index", "atom_index", F.least("_u", "_d").alias("distance"), side.alias("side"))
+
+
+def bind(reference: DataFrame, frames: DataFrame) -> DataFrame:
+    """The reference joined to the frames again; an error if a frame has no plane or the other way round."""
+    a, b = reference.select("frame_index").distinct(), frames.select("frame_index").distinct()
+    odd = a.join(b, "frame_index", "left_anti").unionByName(b.join(a, "frame_index", "left_anti"))
+    if not odd.isEmpty():
+        raise ValueError("the surface reference belongs to other frames")
+    return frames.join(F.broadcast(reference), "frame_index")  # a row for each frame
+
+
+def cache_key(**options: object) -> str:
+    """Names a stored estimate by all that it depends on."""
+    import hashlib
+    import json
+
+    return hashlib.sha256(json.dumps(options, sort_keys=True, default=str).encode()).hexdigest()[:16]

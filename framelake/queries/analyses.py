@@ -221,3 +221,46 @@ def l4_align_positions(spark, sf_dir):
 def k18_reference_store(spark, sf_dir):
     n = A.table(spark, sf_dir, "nation").select(F.sha2(F.col("n_regionkey").cast("string"), 256).alias("reference_id"))
     return alignment.store_references(n.where(F.lit(False)), n)
+
+
+@query(f"WITH {AT} SELECT frame_index, atom_index, element FROM atoms WHERE z >= 4.5 AND z <= 5.5")
+def p15_value_filter(spark, sf_dir):
+    return select.value_filter(A.atoms(spark, sf_dir), "z", 4.5, 5.5).select("frame_index", "atom_index", "element")
+
+
+@query(f"WITH {A.SAMPLES_SQL}, s AS (SELECT g, floor(x / 10000.0)::BIGINT AS x, count(w) AS n, avg(w) AS y, stddev_samp(w) AS std FROM samples GROUP BY ALL HAVING count(w) >= 5) SELECT g, x, n, round(y / max(y) OVER (PARTITION BY g), 9) AS y, round(std / max(y) OVER (PARTITION BY g), 6) AS std FROM s")
+def d1_series_preparation(spark, sf_dir):
+    from ..operators import series
+
+    out = series.prepare(A.samples(spark, sf_dir), ["g"], "x", "w", width=10000.0, mode="max", least=5)
+    return out.select("g", "x", "n", F.round("y", 9).alias("y"), F.round("std", 6).alias("std"))
+
+
+@query(f"WITH {A.SAMPLES_SQL} SELECT d AS bin, (sum(w) FILTER (side = 'O'))::DOUBLE AS v_top, (sum(w) FILTER (side = 'F'))::DOUBLE AS v_bottom FROM samples GROUP BY d")
+def d7_interface_comparison(spark, sf_dir):
+    from ..operators import series
+
+    s = A.samples(spark, sf_dir).groupBy(F.col("d").alias("bin"), F.when(F.col("side") == "O", "top").otherwise("bottom").alias("side")).agg(F.sum("w").cast("double").alias("v"))
+    return series.interface_view(s, "comparison", "v")
+
+
+@query("SELECT o_orderkey AS record_id, q AS quantity, CASE q WHEN 'o_totalprice' THEN o_totalprice ELSE o_custkey::DOUBLE END AS value FROM orders CROSS JOIN (VALUES ('o_totalprice'), ('o_custkey')) t(q)")
+def d11_record_series(spark, sf_dir):
+    from ..operators import series
+
+    return series.unpivot(A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("record_id"), "o_totalprice", "o_custkey"), ["record_id"], ["o_totalprice", "o_custkey"])
+
+
+@query(f"""WITH {PAIRS}, n AS (SELECT p.frame_index, i AS atom_index, min(r) FILTER (b.z >= 5) AS u, min(r) FILTER (b.z < 5) AS d FROM p JOIN atoms b ON b.atom_index = j WHERE ea = 'H' AND eb IN ('Pt', 'Au') GROUP BY ALL)
+SELECT frame_index, atom_index, round(least(u, d), 6) AS distance, CASE WHEN d IS NULL OR u < d - 1e-10 THEN 1 WHEN u IS NULL OR d < u - 1e-10 THEN -1 ELSE 0 END AS side FROM n""")
+def g7_nearest_by_side(spark, sf_dir):
+    a = A.atoms(spark, sf_dir)
+    out = surface.nearest_distances(a.where("element = 'H'"), a.where("element IN ('Pt', 'Au')"), L, symmetric=True, middle=5.0)
+    return out.withColumn("distance", F.round("distance", 6))
+
+
+@query(f"WITH {A.SAMPLES_SQL}, l AS (SELECT g AS source, floor(x / 4000.0) * 2.0 AS z FROM samples GROUP BY ALL) SELECT DISTINCT source, 10.0::DOUBLE AS start, 30.0::DOUBLE AS stop FROM l")
+def d13_bulk_rows(spark, sf_dir):
+    from ..operators import series
+
+    return series.bulk_rows(density_line(spark, sf_dir), ["source"], "z", "density", "manual", 10.0, 30.0)

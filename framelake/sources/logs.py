@@ -140,3 +140,9 @@ def temperatures(table: DataFrame, regions: int) -> DataFrame:
     return table.select("source", F.col("v")[0].cast("long").alias("step"), F.col("v")[1].alias("time_fs"), F.inline(each))
 
 
+
+
+def log_tables(log: DataFrame, drop: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """A DataFrame for each section but the dropped ones, which are never planned."""
+    out = {k: log_table(log, k) for k in SECTIONS if k not in drop}
+    return out | ({} if "scalars" in drop else {"scalars": log_scalars(log)})
