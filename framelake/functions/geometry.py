@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -162,3 +163,27 @@ def divided(x: Column, v: Column) -> Column:
 def align_lateral(p: tuple[Column, Column], matrix: tuple[tuple[int, int], tuple[int, int]], shift: tuple[float, float]) -> tuple[Column, Column]:
     """Fractional lateral coordinates through an integer matrix and a translation, modulo 1."""
     return tuple(F.pmod(p[0] * matrix[0][j] + p[1] * matrix[1][j] + shift[j], F.lit(1.0)) for j in range(2))
+
+
+def bin_volumes(cell: list[float], edges: list[float], axis: int = 2, origin: float = 0.0) -> list[float]:
+    """Volume of the cell between each pair of edges across an axis, for any cell.
+
+    A point of the cell is at height f1 h1 + f2 h2 + f3 h3 with f uniform in [0, 1], h being the vectors' components along the
+    axis; the share below a height is the distribution of that sum, in closed form by inclusion and exclusion.
+    """
+    rows_ = [cell[3 * i : 3 * i + 3] for i in range(3)]
+    a, b, c = rows_
+    whole = abs(sum(a[i] * (b[(i + 1) % 3] * c[(i + 2) % 3] - b[(i + 2) % 3] * c[(i + 1) % 3]) for i in range(3)))
+    h = [r[axis] for r in rows_]
+    low = origin + sum(x for x in h if x < 0)
+    size = max(abs(x) for x in h)
+    steps = [abs(x) for x in h if abs(x) > 1e-9 * size]
+    k = len(steps)
+
+    def below(z: float) -> float:
+        t = min(max(z - low, 0.0), sum(steps))
+        parts = ((-1) ** sum(s) * max(t - sum(x for x, on in zip(steps, s) if on), 0.0) ** k for s in product((0, 1), repeat=k))
+        return whole * math.fsum(parts) / (math.factorial(k) * math.prod(steps))
+
+    v = [below(e) for e in edges]
+    return [max(y - x, 0.0) for x, y in zip(v, v[1:])]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators.ordered import islands
 from ..schema import BOHR_A, CSHE_OFFSET, HARTREE_EV
 
-#: Support of the solvent, window padding and kernel width, in units of angstrom.
+# Support of the solvent, window padding and kernel width, in units of angstrom.
 SUPPORT, PADDING, BANDWIDTH = 0.015, 5.0, 1.5
 
 

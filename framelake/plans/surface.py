@@ -13,6 +13,9 @@ from ..operators.statistics import mobility as _mobility
 from ..schema import ELEMENTS
 
 
+# Defaults, and the weights in the confidence and composite scores below, which results must agree with.
+
+
 @dataclass(frozen=True)
 class Options:
     """Parameters of the estimates, in angstrom where they are lengths."""

@@ -426,3 +426,13 @@ def test_cells(spark):
         with pytest.raises(ValueError):
             G.cell_matrix(*bad)
     assert units.frame_timestep_fs(0.5, "ps", 4) == 2000 and units.axis_index(" Z") == 2
+
+
+def test_bin_volumes():
+    rng = np.random.default_rng(10)
+    for cell in ([3, 0, 0, 0, 4, 0, 0, 0, 5], [3, 0, 0.5, 1, 4, -1.5, 0.3, 0.2, 5]):
+        m = np.array(cell, float).reshape(3, 3)
+        z = (rng.random((400_000, 3)) @ m)[:, 2] + 1.0
+        edges = np.linspace(z.min() - 0.5, z.max() + 0.5, 9)
+        got = G.bin_volumes([float(v) for v in cell], edges.tolist(), 2, 1.0)
+        assert sum(got) == pytest.approx(abs(np.linalg.det(m))) and got == pytest.approx((np.histogram(z, edges)[0] / len(z) * abs(np.linalg.det(m))).tolist(), abs=0.3)
