@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 
 #: Java/Python pattern of a word: everything but the ASCII white space 20 and 09-0D.
 WORD = r"[^\x20\x09-\x0D]+"
+_libc = ctypes.CDLL(ctypes.util.find_library("c")) if ctypes.util.find_library("c") else None
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -37,15 +40,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
+#: Rows of a partition of what cut() writes, where it knows how many there are: many small files cost more than they hold.
+ROWS = 20_000
+
+
+def gathered(df: DataFrame, rows: int | None) -> DataFrame:
+    """df in fewer partitions if about so many rows don't need more."""
+    return df if rows is None else df.coalesce(max(1, -(-rows // ROWS)))
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     """df computed once and read again from the shared folder; a lost executor costs no more than a task."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return gathered(df, rows).checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """As cut(), but as compressed Parquet, for wide or large rows."""
-    spark = df.sparkSession
+    spark, df = df.sparkSession, gathered(df, rows)
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -66,6 +78,8 @@ def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about `limit` text bytes (a longer text has a slice of its own); null texts become empty."""
     for batch in batches:
+        if batch.num_rows == 0:
+            continue
         i = batch.schema.get_field_index(column)
         array = pc.fill_null(batch.column(i), "")
         batch = batch.set_column(i, pa.field(column, array.type), array)
@@ -76,6 +90,28 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(array)]
         for a, b in zip(edges, edges[1:]):
             yield batch.slice(a, b - a)
+    tidy()
+
+
+def tidy() -> None:
+    """Gives freed memory back, as workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
+def row_and_text(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.RecordBatch]:
+    """Batches of a struct `row` of these columns and more, with the text beside it where it is one of them."""
+    for b in batches:
+        if "text" in columns and b.schema.get_field_index("text") < 0:
+            b = b.add_column(1, "text", b.column(0).flatten()[columns.index("text")])
+        yield b
+
+
+def row_struct(docs: DataFrame, columns: list[str], *more: Column) -> DataFrame:
+    """docs as the struct `row` of the columns, the text if it isn't one of them, and more; each is sent to Python once."""
+    own = [] if "text" in columns else [F.col("text").alias("text")]
+    return docs.select(F.struct(*columns).alias("row"), *own, *more)
 
 
 def rows_of(batch: pa.RecordBatch) -> Iterator[tuple]:

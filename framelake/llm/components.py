@@ -8,17 +8,17 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """(node, root) for every node of the edges (u, v): root is the smallest node of its component.
 
     Both rounds send a node's neighbours to the smallest one; sums are combined before the shuffle, and the rows of a
-    hot node are split by the skew join. Only two numbers a round reach the driver.
+    hot node are split by the skew join. Only two numbers a round reach the driver. rows: about how many edges there are.
     """
 
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    e = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    e = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), rows)
     before = state(e)
     while before[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -27,7 +27,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = e.groupBy("u").agg(F.min("v").alias("m"))
         near = e.join(least, "u")
         e = near.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        e = cut(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+        e = cut(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), before[0])
         now = state(e)
         if now == before:
             break

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, fresh, mixed, span_hashes, utf8
+from .common import chunks, mixed, row_and_text, row_struct, span_hashes, utf8
 
 K1, B = 1.2, 0.75
 THRESHOLD, SHINGLE, OVERLAP = 0.6, 5, 0.8
@@ -231,7 +231,7 @@ def find(docs: DataFrame, items: DataFrame) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
-            for b in chunks(batches):
+            for b in chunks(batches, limit=1 << 20):
                 h, at = word_hashes(*lower(b, 1))
                 rows = [(doc, index.items[i].item_id, *v) for doc, found in zip(b.column(0).to_pylist(), index.search(h, at)) for i, v in sorted(found.items())]
                 yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), *[pa.float64()] * 3))], ["doc_id", "item_id", "score", "question", "answer"])
@@ -242,17 +242,17 @@ def find(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that hold no item, with all their columns."""
-    name = fresh("row", docs.columns)
+    columns = docs.columns
     for index in indexes(items):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
-            for b in chunks(batches):
+            for b in chunks(row_and_text(batches, columns), limit=1 << 20):
                 h, at = word_hashes(*lower(b, 1))
-                yield pa.record_batch([b.column(0).filter(pa.array([not found for found in index.search(h, at)], pa.bool_()))], [name])
+                yield pa.record_batch([b.column(0).filter(pa.array([not found for found in index.search(h, at)], pa.bool_()))], ["row"])
 
-        inner = docs.select(F.struct(*docs.columns).alias(name), F.col("text").alias("text"))
-        out = inner.mapInArrow(run, f"{name} {inner.schema[name].dataType.simpleString()}")
-        docs = out.select(*(F.col(name).getField(c).alias(c) for c in docs.columns))
+        inner = row_struct(docs, columns)
+        out = inner.mapInArrow(run, f"row {inner.schema['row'].dataType.simpleString()}")
+        docs = out.select(*(F.col("row").getField(c).alias(c) for c in columns))
     return docs

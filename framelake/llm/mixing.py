@@ -86,7 +86,7 @@ def mix(docs: DataFrame, *, block_words: int = 64, shard_slots: int = 1 << 16, w
     sources = sources.withColumn("blocks", F.ceil(n / m).cast("long"))
     passes = F.when(n > 0, F.floor(F.col("target") / n)).otherwise(0).cast("long")
     part = F.when(n > 0, F.least(F.floor((F.col("target") - passes * n) / m + 0.5).cast("long"), F.col("blocks"))).otherwise(0)
-    sources = cut(sources.withColumn("slots", passes * F.col("blocks") + part))
+    sources = cut(sources.withColumn("slots", passes * F.col("blocks") + part), n_docs)
 
     # Where each document starts: sums over (source, bucket), then within each.
     d = sized.withColumn("key", source_key()).withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))

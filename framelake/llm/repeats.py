@@ -123,7 +123,7 @@ def removals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     marked = keyed.mapInArrow(mark, "key binary, once array<long>, often array<long>")
     texts = stored(marked.groupBy("key").agg(F.count("*").alias("copies"), F.first("once").alias("once"), F.first("often").alias("often")), "texts")
     places = texts.select("key", F.explode("once").alias("hash"), F.lit(1).alias("times")).unionByName(texts.select("key", F.explode("often").alias("hash"), F.lit(2).alias("times")))
-    shared = stored(places.groupBy("hash").agg(F.sum("times").alias("n")).where("n > 1"), "anchors")
+    shared = stored(places.groupBy("hash").agg(F.sum("times").alias("n")).where("n > 1"), "anchors", 4 * texts.count())
     wanted = places.select("key", "hash").join(shared, "hash").groupBy("key").agg(F.collect_list(F.struct("hash", (F.col("n") > COLLECTION).alias("many"))).alias("anchors"))
     found = keyed.join(wanted, "key")
     names, left = ["hash", "key", "at", "string", "end"], length - GRAM

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, fresh
+from .common import chunks, fresh, row_and_text, row_struct
 
 #: Fixed patterns of the base kinds, and the lengths that their matches need.
 ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -141,11 +141,11 @@ def find(docs: DataFrame, *, keep: list[str]) -> DataFrame:
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches):
+        for b in chunks(row_and_text(batches, keep)):
             found = [[{"start": s, "end": e, "kind": k} for s, e, k in scan(t)] for t in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array(found, kind)], ["row", "found"])
 
-    inner = docs.select(F.struct(*keep).alias("row"), F.col("text").alias("text"))
+    inner = row_struct(docs, keep)
     out = inner.mapInArrow(run, f"row {inner.schema['row'].dataType.simpleString()}, found array<struct<start:long,end:long,kind:string>>")
     return out.select(*(F.col("row").getField(c).alias(c) for c in keep), F.col("found").alias(name))
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, fresh
+from .common import chunks, cut, fresh, row_and_text, row_struct
 from .components import components
 
 SHINGLE, DISTANCE, SEGMENTS, SEED = 3, 2, 2, 42
@@ -50,11 +50,11 @@ def fingerprints(docs: DataFrame, *, keep: list[str]) -> DataFrame:
     name = fresh("fp", keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches):
+        for b in chunks(row_and_text(batches, keep)):
             fp = pa.array([fingerprint(t) for t in b.column(1).to_pylist()], pa.int64())
             yield pa.record_batch([b.column(0), fp], ["row", "fp"])
 
-    inner = docs.select(F.struct(*keep).alias("row"), F.col("text").alias("text"))
+    inner = row_struct(docs, keep)
     out = inner.mapInArrow(run, f"row {inner.schema['row'].dataType.simpleString()}, fp long")
     return out.select(*(F.col("row").getField(c).alias(c) for c in keep), F.col("fp").alias(name))
 
@@ -63,12 +63,12 @@ def segment(fp: Column, i: int) -> Column:
     return F.shiftrightunsigned(fp, 32 * i).bitwiseAND(0xFFFFFFFF)
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """Edges (u, v) that connect all distinct fingerprints `fp` within DISTANCE bits."""
+def links(fps: DataFrame, count: int) -> DataFrame:
+    """Edges (u, v) that connect all distinct fingerprints `fp`, about `count` of them, within DISTANCE bits."""
     fp = F.col("fp")
     rows = fps.select("fp", F.explode(F.array(*(F.struct(F.lit(i).alias("seg"), segment(fp, i).alias("value")) for i in range(SEGMENTS)))).alias("s"))
     rows = rows.select("fp", "s.seg", "s.value")
-    hot = cut(rows.groupBy("seg", "value").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET).select("seg", "value"))
+    hot = cut(rows.groupBy("seg", "value").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET).select("seg", "value"), count // max(BUCKET, 1))
     ball = F.array(F.lit(0).cast("long"), *(F.lit(1 << i).cast("long") for i in range(32)))
     probes = rows.select(F.col("fp").alias("u"), "seg", F.explode(F.transform(ball, lambda m: F.col("value").bitwiseXOR(m))).alias("value"))
     table = rows.join(hot, ["seg", "value"], "left_anti").withColumnRenamed("fp", "v")
@@ -90,8 +90,9 @@ def groups(fps: DataFrame) -> DataFrame:
 
     Documents without an id take part in links but never give an id; a component of such documents alone has null.
     """
-    each = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    of = components(links(each.select("fp")))
+    each = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), fps.count())
+    n = each.count()
+    of = components(links(each.select("fp"), n), 2 * n)
     named = each.join(of, each["fp"] == of["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"), F.min(F.when(F.col("least").isNull(), F.col("fp"))).alias("nameless"))
     return named.join(ids, "root").select("fp", "least", "component_id", "nameless")
