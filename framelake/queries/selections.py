@@ -95,9 +95,9 @@ def p16_populated_bins(spark, sf_dir):
     return select.populated(bins, 30)
 
 
-@query(f"WITH {A.SERIES_SQL}, p AS (SELECT DISTINCT kind AS label, id AS frame_index FROM series WHERE cents > 30000), i AS (SELECT label, frame_index - row_number() OVER (PARTITION BY label ORDER BY frame_index) AS g FROM p), r AS (SELECT label, g, count(*) AS n FROM i GROUP BY ALL) SELECT label, max(n) AS longest_run FROM r GROUP BY label HAVING max(n) >= 5")
+@query(f"WITH {A.SERIES_SQL}, p AS (SELECT DISTINCT kind AS label, id AS frame_index FROM series WHERE cents > 10000), i AS (SELECT label, frame_index - row_number() OVER (PARTITION BY label ORDER BY frame_index) AS g FROM p), r AS (SELECT label, g, count(*) AS n FROM i GROUP BY ALL) SELECT label, max(n) AS longest_run FROM r GROUP BY label HAVING max(n) >= 5")
 def p17_active_labels(spark, sf_dir):
-    p = A.series(spark, sf_dir).where("cents > 30000").select(F.col("kind").alias("label"), F.col("id").alias("frame_index"))
+    p = A.series(spark, sf_dir).where("cents > 10000").select(F.col("kind").alias("label"), F.col("id").alias("frame_index"))
     return select.active_labels(p).select("label", "longest_run")
 
 
