@@ -56,15 +56,21 @@ def cell_pairs(a: DataFrame, b: DataFrame, lengths: tuple[float, float, float],
 
 
 def image_pairs(a: DataFrame, b: DataFrame, cell: list[float], r_max: float, images: int = 1, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Pairs in a general cell: all shifts up to `images` cells, several images of a pair reduced to the nearest."""
+    """Pairs in a general cell: all shifts up to `images` cells, several images of a pair reduced to the nearest.
+
+    Images fall into cubes of r_max; each atom of a looks into its own and the 26 around it, by an equi-join.
+    """
     shifts = F.array(*(F.array(*(F.lit(float(v)) for v in (i, j, k))) for i in range(-images, images + 1) for j in range(-images, images + 1) for k in range(-images, images + 1)))
     matrix = F.array(*(F.lit(float(v)) for v in cell))
     zero = (F.lit(0.0),) * 3
     moved = side(b, "b", keep).withColumn("_s", F.explode(shifts))
     at = cartesian(tuple(F.col("_s")[i] for i in range(3)), matrix, zero)
+    left = side(a, "a", keep)
     for c, d in zip("xyz", at):
-        moved = moved.withColumn(f"_{c}", F.col(f"{c}_b") + d)
-    pairs = side(a, "a", keep).join(moved, "frame_index").where(F.col("atom_index_a") != F.col("atom_index_b"))
+        moved = moved.withColumn(f"_{c}", F.col(f"{c}_b") + d).withColumn(f"_c{c}", F.floor(F.col(f"_{c}") / r_max))
+        own = F.floor(F.col(f"{c}_a") / r_max)
+        left = left.withColumn(f"_c{c}", F.explode(F.sequence(own - 1, own + 1)))
+    pairs = left.join(moved, ["frame_index", "_cx", "_cy", "_cz"]).where(F.col("atom_index_a") != F.col("atom_index_b"))
     pairs = pairs.withColumn("r", distance(point("a"), (F.col("_x"), F.col("_y"), F.col("_z")))).where(F.col("r") <= r_max)
     names = [f"{c}_{s}" for s in "ab" for c in keep]
     return pairs.groupBy("frame_index", "atom_index_a", "atom_index_b", *names).agg(F.min("r").alias("r"))
