@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,23 +42,26 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 #: Rows of a partition of what cut() writes, where it knows how many there are: many small files cost more than they hold.
-ROWS = 20_000
+ROWS = 200_000
 
 
-def gathered(df: DataFrame, rows: int | None) -> DataFrame:
-    """df in fewer partitions if about so many rows don't need more."""
-    return df if rows is None else df.coalesce(max(1, -(-rows // ROWS)))
+def cut(df: DataFrame, rows: int | None = None, each: int = ROWS) -> DataFrame:
+    """df computed once and read again from the shared folder, its lineage cut; a lost executor costs no more than a task.
 
-
-def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """df computed once and read again from the shared folder; a lost executor costs no more than a task."""
+    rows: about how many there are, if that is known; `each` of them make a partition.
+    """
     shared_folder(df.sparkSession)
-    return gathered(df, rows).checkpoint(eager=True)
+    return (df if rows is None else df.coalesce(max(1, -(-rows // each)))).checkpoint(eager=True)
+
+
+def reused(df: DataFrame) -> DataFrame:
+    """df kept by the executors, in memory or on their disks; what a lost one held is computed again from the input."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+def stored(df: DataFrame, name: str) -> DataFrame:
     """As cut(), but as compressed Parquet, for wide or large rows."""
-    spark, df = df.sparkSession, gathered(df, rows)
+    spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, n_words
+from .common import cut, n_words, reused
 
 #: Weights of the sources in order of their names, repeating, and the share of all words that the mix has.
 WEIGHTS, SHARE, REPEATS = (3, 1, 2), (3, 2), 2
@@ -77,7 +77,7 @@ def mix(docs: DataFrame, *, block_words: int = 64, shard_slots: int = 1 << 16, w
     Null text: no words. Null source: a source of its own, the last. Repeated rows count as often as they stand. An
     empty table gives empty frames. Documents without words have no piece.
     """
-    sized = cut(docs.select("doc_id", "source", n_words().alias("size")))
+    sized = reused(docs.select("doc_id", "source", n_words().alias("size")))
     n_docs = sized.count()
     buckets = max(1, math.ceil(n_docs / 2_000))
 

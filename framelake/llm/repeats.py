@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, mixed, stored, text_of, utf8
+from .common import chunks, mixed, reused, stored, text_of, utf8
 
 LENGTH, GRAM = 400, 32
 #: Strings of a collection at most; strings that are worked on at once.
@@ -121,9 +121,9 @@ def removals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.record_batch([b.column(0), *each], ["key", "once", "often"])
 
     marked = keyed.mapInArrow(mark, "key binary, once array<long>, often array<long>")
-    texts = stored(marked.groupBy("key").agg(F.count("*").alias("copies"), F.first("once").alias("once"), F.first("often").alias("often")), "texts")
+    texts = reused(marked.groupBy("key").agg(F.count("*").alias("copies"), F.first("once").alias("once"), F.first("often").alias("often")))
     places = texts.select("key", F.explode("once").alias("hash"), F.lit(1).alias("times")).unionByName(texts.select("key", F.explode("often").alias("hash"), F.lit(2).alias("times")))
-    shared = stored(places.groupBy("hash").agg(F.sum("times").alias("n")).where("n > 1"), "anchors", 4 * texts.count())
+    shared = reused(places.groupBy("hash").agg(F.sum("times").alias("n")).where("n > 1"))
     wanted = places.select("key", "hash").join(shared, "hash").groupBy("key").agg(F.collect_list(F.struct("hash", (F.col("n") > COLLECTION).alias("many"))).alias("anchors"))
     found = keyed.join(wanted, "key")
     names, left = ["hash", "key", "at", "string", "end"], length - GRAM

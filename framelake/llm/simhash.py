@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, fresh, row_and_text, row_struct
+from .common import chunks, cut, fresh, reused, row_and_text, row_struct
 from .components import components
 
 SHINGLE, DISTANCE, SEGMENTS, SEED = 3, 2, 2, 42
@@ -90,7 +90,7 @@ def groups(fps: DataFrame) -> DataFrame:
 
     Documents without an id take part in links but never give an id; a component of such documents alone has null.
     """
-    each = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), fps.count())
+    each = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), fps.count(), each=20_000)
     n = each.count()
     of = components(links(each.select("fp"), n), 2 * n)
     named = each.join(of, each["fp"] == of["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
@@ -104,7 +104,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Null text: no words, fingerprint zero, linked like any other. Repeated rows are in one component and all returned.
     An empty table gives an empty frame. Other columns are not read.
     """
-    fps = cut(fingerprints(docs, keep=["doc_id"]))
+    fps = reused(fingerprints(docs, keep=["doc_id"]))
     out = fps.join(groups(fps).select("fp", "component_id"), "fp")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
@@ -113,7 +113,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """One document of each group, with all its columns: that of the smallest id (of any, where no document has one)."""
     name, mark = fresh("fp", docs.columns), fresh("id_key", docs.columns)
     rows = fingerprints(docs, keep=docs.columns)
-    named = groups(cut(fingerprints(docs, keep=["doc_id"])))
+    named = groups(reused(fingerprints(docs, keep=["doc_id"])))
     chosen = named.where((F.col("least") == F.col("component_id")) | (F.col("component_id").isNull() & (F.col("fp") == F.col("nameless"))))
     chosen = chosen.select(F.col("fp").alias(name), F.coalesce(F.col("component_id").cast("string"), F.lit("")).alias(mark))
     rows = rows.withColumn(mark, F.coalesce(F.col("doc_id").cast("string"), F.lit("")))

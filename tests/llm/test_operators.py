@@ -490,3 +490,24 @@ def test_seats_stay_consistent():
         seats.sweep(np.full(500, 2.0), 0.6, rng)
         used = np.add.reduceat(seats.size, seats.off)
         assert (used == seats.c).all() and (np.add.reduceat((seats.size > 0).astype(int), seats.off) == seats.t[seats.pairs]).all()
+
+
+# ---- models and indexes in several blocks
+
+
+def test_models_in_blocks(docs, monkeypatch):
+    whole = sorted(map(repr, quality.judge(docs, keep=["doc_id"]).select("doc_id", "judged.*").collect()))
+    monkeypatch.setattr(quality, "MODEL_BYTES", 1)
+    assert sorted(map(repr, quality.judge(docs, keep=["doc_id"]).select("doc_id", "judged.*").collect())) == whole
+
+
+def test_items_in_blocks(spark, monkeypatch):
+    rng = random.Random(12)
+    text = lambda k: " ".join("".join(rng.choices("abcdefgh", k=rng.randint(3, 7))) for _ in range(k))
+    items = [(i, text(15)) for i in range(12)]
+    docs = spark.createDataFrame([(i, f"{text(50)} {items[i % 12][1] if i % 2 else ''} {text(20)}") for i in range(40)], "doc_id long, text string")
+    table = spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "ITEM_BYTES", 300)
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find(docs, table).collect()}
+    assert got == {(i, i % 12) for i in range(1, 40, 2)}
+    assert {r["doc_id"] for r in decontaminate.clean(docs, table).collect()} == set(range(0, 40, 2))
