@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import chunks, mixed, reused, stored, text_of, utf8
 
 LENGTH, GRAM = 400, 32
-#: Strings of a collection at most; strings that are worked on at once.
+#: Strings of a collection, of which a text counts for two at most (its periodic ones fall together); strings that are worked on at once.
 COLLECTION, BATCH = 20_000, 4_096
 _BITS = 20
 
