@@ -1,6 +1,6 @@
 """License scans: phrases that stand as consecutive words, and ordered signature rules.
 
-A keyword automaton runs over each text once; only rules with a keyword in it are tried. Detections are resolved by
+An automaton runs over each text once; only rules whose literal is in it are tried. Detections are resolved by
 priority: one that lies within another of at least its priority is suppressed (the longer one explains it).
 """
 
@@ -24,25 +24,21 @@ WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
 _SMALL = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-_GAP = re.compile(r"[^a-z0-9.:/+\x80-\U0010ffff-]+")
+_PLAIN = bytes(i if i >= 128 or chr(i) in "abcdefghijklmnopqrstuvwxyz0123456789.:/+-" else 32 for i in range(256))
 SCORE = {3: 1.0, 2: 0.8, 1: 0.5}
 
 
-#: Keywords that open the phrases, and that stand for talk of licenses at all.
+#: Words that open the phrases.
 OPENERS = ("gnu", "apache", "cc", "license")
-BASE, TALK = -1, -2
+BASE = -1
 
 
 @cache
-def keywords() -> tuple[ahocorasick.Automaton, list[Rule]]:
-    """The automaton yields, for each keyword, the numbers of the rules that it opens alone and of those that it opens with TALK."""
-    every, opens = rules(), {}
+def literals() -> tuple[ahocorasick.Automaton, list[Rule]]:
+    """The automaton yields, for each literal, the numbers of the rules that can't match without it."""
+    every, opens = rules(), {w: {BASE} for w in OPENERS}
     for i, r in enumerate(every):
-        for w in r.keywords:
-            opens.setdefault(w.lstrip("!"), (set(), set()))[not w.startswith("!")].add(i)
-    for w in OPENERS:
-        opens.setdefault(w, (set(), set()))[0].add(BASE)
-    opens.setdefault("licen", (set(), set()))[0].add(TALK)
+        opens.setdefault(r.literal, set()).add(i)
     automaton = ahocorasick.Automaton()
     for w, ids in opens.items():
         automaton.add_word(w, ids)
@@ -50,14 +46,18 @@ def keywords() -> tuple[ahocorasick.Automaton, list[Rule]]:
     return automaton, every
 
 
+def plain(text: str) -> str:
+    """The text in lower case in the form that the rules see."""
+    return b" ".join(text.encode().translate(_PLAIN).split()).decode()
+
+
 def opened(text: str) -> set[int]:
-    alone, along, seen = set(), set(), set()
-    for _, ids in keywords()[0].iter(text):
+    numbers, seen = set(), set()
+    for _, ids in literals()[0].iter(plain(text)):
         if id(ids) not in seen:
             seen.add(id(ids))
-            alone |= ids[0]
-            along |= ids[1]
-    return alone | along if TALK in alone else alone
+            numbers |= ids
+    return numbers
 
 
 def places(words: list[str]) -> list[tuple[int, str]]:
@@ -88,8 +88,8 @@ def resolved(found: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int
 
 def detections(text: str, numbers: set[int]) -> list[tuple[int, int, int, str]]:
     """What the opened rules find in the text, offsets in its normalised form."""
-    plain, every = _GAP.sub(" ", text), keywords()[1]
-    return resolved([(m.start(), m.end(), every[i].priority, every[i].label) for i in sorted(numbers) if i >= 0 for m in every[i].regex.finditer(plain)])
+    seen, every = plain(text), literals()[1]
+    return resolved([(m.start(), m.end(), every[i].priority, every[i].label) for i in sorted(numbers) if i >= 0 for m in every[i].regex.finditer(seen)])
 
 
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, n_detections long"
