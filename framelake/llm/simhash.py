@@ -45,6 +45,15 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n).view(">i8")[0])
 
 
+def majority(h: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Fingerprints of sets of 64-bit hashes that stand behind one another: a bit is 1 if it is in over half of the set."""
+    out = np.zeros(len(begin), np.uint64)
+    for i in range(64):
+        ones = np.add.reduceat((h >> np.uint64(i)) & np.uint64(1), begin)
+        out |= (2 * ones.astype(np.int64) > size).astype(np.uint64) << np.uint64(i)
+    return out
+
+
 def fingerprints(docs: DataFrame, *, keep: list[str]) -> DataFrame:
     """The columns `keep` and the fingerprint `fp` (long). Null text: empty."""
     name = fresh("fp", keep)
