@@ -53,7 +53,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.cleaned(table(spark, sf_dir, "documents")).drop("removed")
+    return repeats.cleaned(table(spark, sf_dir, "documents")).drop("removed", "passages")
 
 
 def op10_score(spark: SparkSession, sf_dir: str) -> DataFrame:

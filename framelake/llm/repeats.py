@@ -1,16 +1,19 @@
 """Repeated strings: every byte covered by a 400-byte string that starts anywhere else is removed.
 
+Passages of over 50 words that repeat may have fewer bytes. They are reported beside: runs covered by repeated 240-byte
+strings, of more than 50 words. Both come from the same common prefixes.
+
 Inserting one symbol of every document a round, over whole documents, takes as many rounds as the longest document has
 bytes, each with a pass over the whole transform. The same column-wise construction is made here over strings of bounded
 length instead, so that it has a fixed number of rounds:
 
-1. Each 400-byte window names the least hash of its 32-byte strings as its anchor. Equal windows name equal anchors at
+1. Each 240-byte window names the least hash of its 32-byte strings as its anchor. Equal windows name equal anchors at
    the same distance, so only windows of anchors that stand in two places or more can repeat.
-2. The surroundings of such an anchor (all windows that could name it) are a string of at most 768 bytes. Strings of the
-   same anchor form a collection, aligned at the anchor.
+2. The surroundings of such an anchor (all 400-byte windows whose first 240 bytes could name it) are a string of at most 608
+   bytes. Strings of the same anchor form a collection, aligned at the anchor.
 3. Column by column from the right, one symbol of each string is put before its suffix: the order of the suffixes is
    updated by a stable sort on the new symbols (the positional Burrows-Wheeler transform), the common prefixes of
-   neighbours with it. Where a neighbour shares 400 bytes, the window that starts in this column repeats.
+   neighbours with it. Where a neighbour shares 400 (or 240) bytes, the window that starts in this column repeats.
 
 Each text is one document, so matches never cross documents. Copies of a whole text are found by digest and their
 strings enter once. An anchor with very many strings would make its collection unbounded; its windows are then compared
@@ -30,7 +33,9 @@ from pyspark.sql import functions as F
 from .common import chunks, mixed, reused, stored, text_of, utf8
 
 LENGTH, GRAM = 400, 32
-#: Strings of a collection, of which a text counts for two at most (its periodic ones fall together); strings that are worked on at once.
+#: Bytes of a window of a passage, and the words that a passage has more than.
+PASSAGE, WORDS = 240, 50
+#: Strings of a collection (equal ones of a text fall together); strings that are worked on at once.
 COLLECTION, BATCH = 20_000, 4_096
 _BITS = 20
 
@@ -68,14 +73,14 @@ def anchors(raw: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarr
     return at, np.concatenate([h for _, h in found])[first]
 
 
-def repeated(strings: np.ndarray, group: np.ndarray, length: int, starts: int) -> np.ndarray:
-    """Which windows of aligned strings stand in another string of the group too: (strings, starts).
+def repeated(strings: np.ndarray, group: np.ndarray, lengths: tuple[int, ...], starts: int) -> list[np.ndarray]:
+    """For each length, which windows of aligned strings stand in another string of the group too: (strings, starts).
 
     strings: a row of symbols each, group: in order. One column a round, from the right.
     """
     order = np.arange(len(strings))
     shared = np.zeros(len(strings) + 1, np.int32)  # with the neighbour before; a closing zero
-    out = np.zeros((len(strings), starts), bool)
+    out = [np.zeros((len(strings), starts), bool) for _ in lengths]
     columns = np.ascontiguousarray(strings.T)
     group = group.astype(np.int64) * 512
     for q in range(strings.shape[1] - 1, -1, -1):
@@ -92,8 +97,9 @@ def repeated(strings: np.ndarray, group: np.ndarray, length: int, starts: int) -
             shared[1:-1] = np.where(key[1:] == key[:-1], shared[1:-1] + 1, 0)
             shared[0] = 0
         if q < starts:
-            enough = shared >= length
-            out[order[enough[:-1] | enough[1:]], q] = True
+            for length, flags in zip(lengths, out):
+                enough = shared >= length
+                flags[order[enough[:-1] | enough[1:]], q] = True
     return out
 
 
@@ -106,40 +112,63 @@ def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, first, np.nonzero(d == -1)[1] - 1
 
 
-def removals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(key, copies, spans) of each distinct text, key being its MD5: bytes to remove as an array of (start, end), unmerged.
+def key_of(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the text's MD5, the same plan wherever it is used, so that texts are shuffled once for all joins by key."""
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    return keyed.withColumn("key", F.coalesce(F.unhex(F.md5("text")), F.lit(b"")))
+
 
-    A text with copies is not given spans if it is to go as a whole.
+def removals(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE) -> DataFrame:
+    """(key, copies, spans) of each distinct text, key being its MD5; spans: (kind, start, end), unmerged.
+
+    Kind 0 is covered by repeated strings of `length` bytes, kind 1 by those of `passage` bytes. A text with copies is not
+    given spans if it is to go as a whole.
     """
-    keyed = docs.select(text_of().alias("text")).select(F.unhex(F.md5("text")).alias("key"), "text")
+    keyed, near = key_of(docs), min(passage, length)
+    lengths, left = (length, near), near - GRAM
+
+    def surroundings(raw: np.ndarray, p: int) -> tuple[int, int, bytes]:
+        start, end = max(p - left, 0), min(p + length, len(raw))
+        return p - start, end - start, hashlib.blake2b(raw[start:end], digest_size=16).digest()
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
             raw, at = utf8(b.column(1))
-            got = [np.unique(anchors(raw[a:z], length)[1], return_counts=True) for a, z in zip(at, at[1:])]
-            each = [pa.array([h[n > 1 if twice else n == 1].view(np.int64) for h, n in got], pa.list_(pa.int64())) for twice in (False, True)]
-            yield pa.record_batch([b.column(0), *each], ["key", "once", "often"])
-
-    marked = keyed.mapInArrow(mark, "key binary, once array<long>, often array<long>")
-    texts = reused(marked.groupBy("key").agg(F.count("*").alias("copies"), F.first("once").alias("once"), F.first("often").alias("often")))
-    places = texts.select("key", F.explode("once").alias("hash"), F.lit(1).alias("times")).unionByName(texts.select("key", F.explode("often").alias("hash"), F.lit(2).alias("times")))
+            columns: list[list] = [[], [], []]
+            for a, z in zip(at, at[1:]):
+                text = raw[a:z]
+                p, h = anchors(text, near)
+                hashes, inv, n = np.unique(h, return_inverse=True, return_counts=True)
+                again = n[inv] > 1
+                kinds: dict[int, set] = {}
+                for i, q in zip(inv[again].tolist(), p[again].tolist()):
+                    kinds.setdefault(i, set()).add(surroundings(text, q))
+                columns[0].append(hashes[n == 1].view(np.int64))
+                columns[1].append(hashes[n > 1].view(np.int64))
+                columns[2].append([max(len(kinds[i]), 2) for i in np.flatnonzero(n > 1).tolist()])
+            yield pa.record_batch([b.column(0), *(pa.array(c, pa.list_(pa.int64())) for c in columns)], ["key", "once", "often", "times"])
+
+    marked = keyed.select("key", "text").mapInArrow(mark, "key binary, once array<long>, often array<long>, times array<long>")
+    texts = reused(marked.groupBy("key").agg(F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("once", "often", "times"))))
+    more = texts.select("key", F.explode(F.arrays_zip("often", "times")).alias("s")).select("key", F.col("s.often").alias("hash"), "s.times")
+    places = texts.select("key", F.explode("once").alias("hash"), F.lit(1).cast("long").alias("times")).unionByName(more)
     shared = reused(places.groupBy("hash").agg(F.sum("times").alias("n")).where("n > 1"))
     wanted = places.select("key", "hash").join(shared, "hash").groupBy("key").agg(F.collect_list(F.struct("hash", (F.col("n") > COLLECTION).alias("many"))).alias("anchors"))
-    found = keyed.join(wanted, "key")
-    names, left = ["hash", "key", "at", "string", "end"], length - GRAM
+    found = keyed.join(wanted.hint("merge"), "key").select("doc_id", "key", "text", "anchors")
+    names = ["hash", "key", "at", "string", "end"]
 
     def texts_of(batches: Iterator[pa.RecordBatch], many: bool) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray]]:
         """Key, bytes, and the wanted anchors' positions and hashes of each text; copies that follow one another once."""
         last = None
         for b in chunks(batches):
-            raw, at = utf8(b.column(1))
-            for key, a, z, own in zip(b.column(0).to_pylist(), at, at[1:], b.column(2)):
+            raw, at = utf8(b.column(2))
+            for key, a, z, own in zip(b.column(1).to_pylist(), at, at[1:], b.column(3)):
                 if key != last:
                     last = key
                     v = own.values
                     mine = v.field("hash").to_numpy()[v.field("many").to_numpy(zero_copy_only=False) == many]
                     if len(mine):
-                        p, h = anchors(raw[a:z], length)
+                        p, h = anchors(raw[a:z], near)
                         some = np.isin(h.view(np.int64), mine)
                         yield key, raw[a:z], p[some], h[some].view(np.int64)
 
@@ -152,16 +181,16 @@ def removals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         for key, raw, at, hashes in texts_of(batches, False):
             seen: dict[tuple, int] = {}
             for p, h in zip(at.tolist(), hashes.tolist()):
-                start, end = max(p - left, 0), min(p + length, len(raw))
-                string = raw[start:end].tobytes()
-                name = (h, p - start, hashlib.blake2b(string, digest_size=16).digest())
+                before, size, digest = surroundings(raw, p)
+                start = p - before
+                name = (h, before, digest)
                 if name not in seen:
                     seen[name] = p
-                    rows.append((h, key, p, string, None))
-                elif end - start >= length:  # all its windows stand twice in this text; the first goes on for the others
-                    rows.append((p, key, start, None, end))
+                    rows.append((h, key, p, raw[start : start + size].tobytes(), None))
+                elif size >= near:  # all its windows stand twice in this text; the first goes on for the others
+                    rows.append((p, key, start, None, start + size))
                     if (q := seen[name]) >= 0:
-                        rows.append((p, key, max(q - left, 0), None, min(q + length, len(raw))))
+                        rows.append((p, key, q - before, None, q - before + size))
                         seen[name] = -1
                 if len(rows) >= BATCH:
                     yield made()
@@ -169,20 +198,24 @@ def removals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         if rows:
             yield made()
 
-    def collection(rows: list[tuple]) -> pa.RecordBatch:
-        width = left + length
-        x = np.full((len(rows), width), 256, np.uint16)
+    types = (pa.binary(), pa.int32(), pa.int64(), pa.int64())
+    spans_named = ["key", "kind", "start", "end"]
+
+    def collection(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        x = np.full((len(rows), left + length), 256, np.uint16)
         at = np.array([r[2] for r in rows], np.int64)
-        inside = np.zeros((len(rows), left + 1), bool)
+        inside = [np.zeros((len(rows), left + 1), bool) for _ in lengths]
         for i, r in enumerate(rows):
             first = max(left - r[2], 0)
             x[i, first : first + len(r[3])] = np.frombuffer(r[3], np.uint8)
-            inside[i, first : max(first + len(r[3]) - length + 1, 0)] = True
+            for n, flags in zip(lengths, inside):
+                flags[i, first : max(first + len(r[3]) - n + 1, 0)] = True
         hashes = np.array([r[0] for r in rows], np.int64)
         group = np.concatenate([[0], np.cumsum(hashes[1:] != hashes[:-1])])
-        row, first, last = runs(repeated(x, group, length, left + 1) & inside)
-        key = pa.array([rows[i][1] for i in row.tolist()], pa.binary())
-        return pa.record_batch([key, pa.array(at[row] - left + first), pa.array(at[row] - left + last + length)], ["key", "start", "end"])
+        for kind, (n, flags) in enumerate(zip(lengths, repeated(x, group, lengths, left + 1))):
+            row, first, last = runs(flags & inside[kind])
+            key = [rows[i][1] for i in row.tolist()]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip((key, np.full(len(row), kind), at[row] - left + first, at[row] - left + last + n), types)], spans_named)
 
     def collections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -190,19 +223,19 @@ def removals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             known = []
             for r in zip(*(b.column(i).to_pylist() for i in range(5))):
                 if r[3] is None:
-                    known.append((r[1], r[2], r[4]))
+                    known += [(r[1], kind, r[2], r[4]) for kind, n in enumerate(lengths) if r[4] - r[2] >= n]
                     continue
                 if len(held) >= BATCH and r[0] != held[-1][0]:
-                    yield collection(held)
+                    yield from collection(held)
                     held = []
                 held.append(r[:4])
             if known:
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*known), (pa.binary(), pa.int64(), pa.int64()))], ["key", "start", "end"])
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*known), types)], spans_named)
         if held:
-            yield collection(held)
+            yield from collection(held)
 
     dealt = found.mapInArrow(strings, "hash long, key binary, at long, string binary, end long").repartition("hash").sortWithinPartitions("hash")
-    spans = dealt.mapInArrow(collections, "key binary, start long, end long")
+    spans = dealt.mapInArrow(collections, "key binary, kind int, start long, end long")
 
     if not shared.where(F.col("n") > COLLECTION).isEmpty():
 
@@ -210,22 +243,25 @@ def removals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             for key, raw, at, hashes in texts_of(batches, True):
                 text = raw.tobytes()
                 for p, h in zip(at.tolist(), hashes.tolist()):
-                    starts = range(max(p - left, 0), min(p, len(text) - length) + 1)
-                    digests = [hashlib.blake2b(text[s : s + length], digest_size=16).digest() for s in starts]
-                    yield pa.record_batch([pa.array([h] * len(digests), pa.int64()), pa.array(digests, pa.binary()), pa.array([key] * len(digests), pa.binary()), pa.array(list(starts), pa.int64())], ["hash", "window", "key", "start"])
+                    for kind, n in enumerate(lengths):
+                        starts = list(range(max(p - left, 0), min(p, len(text) - n) + 1))
+                        digests = [hashlib.blake2b(text[s : s + n], digest_size=16).digest() for s in starts]
+                        some = len(starts)
+                        yield pa.record_batch([pa.array([h] * some, pa.int64()), pa.array(digests, pa.binary()), pa.array([key] * some, pa.binary()), pa.array([kind] * some, pa.int32()), pa.array(starts, pa.int64())], ["hash", "window", "key", "kind", "start"])
 
-        each = stored(found.mapInArrow(windows, "hash long, window binary, key binary, start long"), "windows")
+        each = stored(found.mapInArrow(windows, "hash long, window binary, key binary, kind int, start long"), "windows")
         each = each.distinct()  # two anchors of a periodic text share windows
-        twice = each.groupBy("hash", "window").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-        spans = spans.unionByName(each.join(twice, ["hash", "window"], "left_semi").select("key", "start", (F.col("start") + length).alias("end")))
+        twice = each.groupBy("hash", "kind", "window").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+        long = F.when(F.col("kind") == 0, lengths[0]).otherwise(lengths[1])
+        spans = spans.unionByName(each.join(twice, ["hash", "kind", "window"], "left_semi").select("key", "kind", "start", (F.col("start") + long).alias("end")))
 
-    each = spans.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    each = spans.groupBy("key").agg(F.collect_list(F.struct("kind", "start", "end")).alias("spans"))
     return texts.select("key", "copies").join(each, "key", "left").where("copies > 1 or spans is not null")
 
 
-def merged(spans: list[dict]) -> list[tuple[int, int]]:
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
-    for s, e in sorted((r["start"], r["end"]) for r in spans):
+    for s, e in sorted(spans):
         if out and s <= out[-1][1]:
             out[-1] = (out[-1][0], max(out[-1][1], e))
         else:
@@ -233,29 +269,35 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
     return out
 
 
-def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and `removed` (the byte spans) of every row.
+def cleaned(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE, words: int = WORDS) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, passage_bytes, `removed` and `passages` of every row.
 
-    Null text: empty. Texts under the length lose nothing. Repeated rows lose everything from that length on. An empty
-    table gives an empty frame. Other columns are not read.
+    removed: the byte spans that go; passages: maximal runs, of more than `words` words, that strings of `passage` bytes
+    which start elsewhere too cover (min(passage, length) bytes, in fact). Null text: empty. Texts under the length lose
+    nothing. Repeated rows lose everything from that length on. An empty table gives an empty frame. Other columns are not read.
     """
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    kind, near = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), min(passage, length)
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), kind, kind)
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "passage_bytes", "removed", "passages"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
             rows = []
             for text, copies, spans in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
                 raw = text.encode()
-                gone = [(0, len(raw))] if (copies or 1) > 1 and len(raw) >= length else merged(spans or [])
+                if (copies or 1) > 1:
+                    gone, again = ([(0, len(raw))] if len(raw) >= n else [] for n in (length, near))
+                else:
+                    gone, again = (merged([(r["start"], r["end"]) for r in spans or [] if r["kind"] == k]) for k in (0, 1))
+                again = [(s, e) for s, e in again if len(raw[s:e].split()) > words]
                 kept, at = hashlib.sha256(), 0
                 for s, e in gone:
                     kept.update(raw[at:s])
                     at = e
                 kept.update(raw[at:])
-                rows.append((len(raw), sum(e - s for s, e in gone), len(gone), kept.hexdigest(), [{"start": s, "end": e} for s, e in gone]))
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), kind)
-            yield pa.record_batch([b.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows), types))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
+                rows.append((len(raw), sum(e - s for s, e in gone), len(gone), kept.hexdigest(), len(again), sum(e - s for s, e in again), *([{"start": s, "end": e} for s, e in x] for x in (gone, again))))
+            yield pa.record_batch([b.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows), types))], names)
 
-    keyed = docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).withColumn("key", F.unhex(F.md5("text")))
-    both = keyed.join(removals(docs, length), "key", "left").select("doc_id", "text", "copies", "spans")
-    return both.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:long,end:long>>")
+    both = key_of(docs).join(removals(docs, length, passage), "key", "left").select("doc_id", "text", "copies", "spans")
+    span = "array<struct<start:long,end:long>>"
+    return both.mapInArrow(cut, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, passage_bytes long, removed {span}, passages {span}")

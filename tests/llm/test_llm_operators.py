@@ -448,6 +448,28 @@ def test_repeats(spark, docs, rows, none, monkeypatch, collection):
     assert repeats.cleaned(none).count() == 0
 
 
+@pytest.mark.parametrize("collection", [20_000, 3])
+def test_passages(spark, monkeypatch, collection):
+    """Planted passages of over 50 words, most of them under 400 bytes, and clean texts; against brute force over bytes."""
+    monkeypatch.setattr(repeats, "COLLECTION", collection)
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 8)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    passages = [text(n) for n in (51, 52, 55, 60, 75, 90)]
+    rows = [(i, f"{text(rng.randint(20, 200))} {passages[i % 6]} {text(rng.randint(20, 200))}") for i in range(30)]
+    rows += [(100 + i, text(rng.randint(0, 300))) for i in range(30)] + [(200, " ".join(passages[0].split()[:45]) + " " + text(40)), (201, None), (202, text(60)), (None, rows[3][1])]
+    rows += [(300, "= " * 400), (301, "a b " * 70 + text(30))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [(r[0], r[2], r[3]) for r in brute_repeats(rows, 240)]
+    out = {r["doc_id"]: r for r in repeats.cleaned(df).collect()}
+    for doc, covered, spans in found:
+        assert out[doc]["passage_bytes"] <= covered and out[doc]["n_passages"] <= spans
+    assert all(out[i]["n_passages"] == 1 and out[i]["passage_bytes"] >= len(passages[i % 6]) for i in range(30))
+    assert all(out[i]["n_passages"] == 0 == out[i]["n_removed"] for i in [*range(100, 130), 200, 201, 202])
+    assert [(r["start"], r["end"]) for r in out[300]["passages"]] == [(0, 800)] and out[301]["n_passages"] == 1
+    same(repeats.cleaned(df), brute_repeats(rows, 400), COLUMNS)
+
+
 # ---- language model
 
 
