@@ -56,18 +56,40 @@ def element_of(raw: Column, aliases: dict[str, str] | None = None) -> Column:
     return F.coalesce(*options)
 
 
+# The forms of a Fermi energy in a log, and whether it is in atomic units or in electron volts.
+_VALUE = r"([+-]?\d+(?:\.\d+)?(?:[Ee][+-]?\d+)?)"
 FERMI = (
-    r"(?i)fermi energy\s*(?:\[?\s*(?:eV)\s*\]?)\s*[:=]?\s*(" + NUMBER + ")",
-    r"(?i)e-?fermi\s*[:=]\s*(" + NUMBER + ")",
-    r"(?i)fermi energy\s*[:=]?\s*(" + NUMBER + r")\s*(?:a\.u\.|hartree)?",
-    r"(?i)fermi level\s*[:=]?\s*(" + NUMBER + ")",
+    (r"(?i:Fermi\s+energy\s*\[(?:a\.u\.|hartree)\]\s*:\s*)" + _VALUE, HARTREE_EV),
+    (r"Fermi\s+energy\s*:\s*" + _VALUE, HARTREE_EV),
+    (r"Fermi\s+energy\s*\[eV\]\s*:\s*" + _VALUE, 1.0),
+    (r"E\(Fermi\)\s*=\s*" + _VALUE + r"\s*(?:a\.u\.|au|A\.U\.)", HARTREE_EV),
 )
 
 
 def fermi_ev(line: Column) -> Column:
-    """The Fermi energy of a line in eV: stated in eV, else in atomic units; null without one."""
-    take = lambda p: number(F.nullif(F.regexp_extract(line, p, 1), F.lit("")))
-    return F.coalesce(take(FERMI[0]), *(take(p) * HARTREE_EV for p in FERMI[1:]))
+    """The last Fermi energy of a line in eV; of forms that start at the same place the later one; null without one."""
+    found = []
+    for i, (pattern, factor) in enumerate(FERMI):
+        p = F.lit(f"(?s)^(.*){pattern}")
+        value = F.nullif(F.regexp_extract(line, f"(?s)^(.*){pattern}", 2), F.lit("")).try_cast("double") * factor
+        found.append(F.when(F.regexp_like(line, p), F.struct(F.length(F.regexp_extract(line, f"(?s)^(.*){pattern}", 1)).alias("at"), F.lit(i).alias("form"), value.alias("ev"))))
+    return F.array_max(F.filter(F.array(*found), lambda x: x.isNotNull()))["ev"]
+
+
+def utc_iso(time: Column) -> Column:
+    """A time in UTC as ISO text of whole seconds."""
+    return F.concat(F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
+
+
+def output_name(source: Column, analysis: str, ending: str = ".h5") -> Column:
+    """The name of an analysis of a source: its file name without ending, the analysis, and the ending of the store."""
+    name = F.regexp_extract(source, r"([^/]*)$", 1)
+    return F.concat(F.regexp_replace(name, r"(?<=.)\.[^.]*$", ""), F.lit(f".{analysis}{ending}"))
+
+
+def numbered_name(name: Column, number: Column) -> Column:
+    """A name with _number before its first dot, as a name that is taken gets it."""
+    return F.concat(F.regexp_extract(name, r"^([^.]*)", 1), F.lit("_"), number.cast("string"), F.regexp_extract(name, r"^[^.]*(.*)$", 1))
 
 
 def parse_selection_token(token: str) -> tuple[float, str]:

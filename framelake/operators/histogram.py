@@ -34,6 +34,20 @@ def uniform_rdf_bins(r_max: float, width: float) -> tuple[int, float]:
     return n, r_max / n
 
 
+def reconstructed(edges: DataFrame, by: str, index: str, edge: str, rtol: float = 5e-7) -> DataFrame:
+    """(by, index, lo, width, uniform): a uniform grid of doubles from edges that were stored as floats.
+
+    The first edge and the mean width make the grid; `uniform` says whether every stored edge lies on it to the precision
+    of its type.
+    """
+    e = F.col(edge).cast("double")
+    ends = edges.groupBy(by).agg(F.min(e).alias("_a"), F.max(e).alias("_z"), F.min(index).alias("_i"), F.count("*").alias("_n"))
+    grid = edges.join(ends, by).withColumn("width", (F.col("_z") - F.col("_a")) / (F.col("_n") - 1)).withColumn("lo", F.col("_a") + (F.col(index) - F.col("_i")) * F.col("width"))
+    slack = F.greatest(F.abs("_a"), F.abs("_z")) * 2.4e-7 + rtol * F.col("width")
+    bad = grid.groupBy(by).agg((F.max(F.abs(e - F.col("lo"))) <= F.max(slack)).alias("uniform"))
+    return grid.join(bad, by).select(by, index, "lo", "width", "uniform")
+
+
 def auto_r_max(heights: list[float], width: float) -> float:
     """Half the smallest height, rounded down to whole bins."""
     return math.floor(min(heights) / 2 / width + 1e-9) * width

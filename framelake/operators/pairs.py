@@ -168,6 +168,23 @@ def unordered_pairs(species: DataFrame) -> DataFrame:
     return names.select(F.inline(pairs))
 
 
+def distinct_pairs(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """(a, b) once for each unordered pair, the smaller first."""
+    return pairs.select(F.least(a, b).alias(a), F.greatest(a, b).alias(b)).distinct()
+
+
+def fingerprints(atoms: DataFrame) -> DataFrame:
+    """(frame_index, fingerprint): a digest of each frame's atoms in order and their elements; a frame is a bounded group."""
+    members = F.transform(F.array_sort(F.collect_list(F.struct("atom_index", "element"))), lambda x: F.concat(x["atom_index"].cast("string"), F.lit(":"), x["element"]))
+    return atoms.groupBy("frame_index").agg(F.sha2(F.concat_ws(",", members), 256).alias("fingerprint"))
+
+
+def reusable(stored: DataFrame, atoms: DataFrame) -> DataFrame:
+    """(frame_index, valid): whether what is stored of a frame, by its fingerprint, still belongs to it."""
+    now = fingerprints(atoms).withColumnRenamed("fingerprint", "_now")
+    return now.join(stored.select("frame_index", "fingerprint"), "frame_index", "left").select("frame_index", F.coalesce(F.col("_now") == F.col("fingerprint"), F.lit(False)).alias("valid"))
+
+
 def ordered_pairs(species: DataFrame) -> DataFrame:
     names = species.select(F.sort_array(F.collect_set("species")).alias("s"))
     return names.select(F.inline(F.flatten(F.transform("s", lambda a: F.transform("s", lambda b: F.struct(a.alias("a"), b.alias("b")))))))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import parse_selection_token
 from ..schema import ELEMENTS, MIN_MOLECULE_FRAMES
+from .tables import numbered
 
 SPATIAL_TOLERANCE = 1e-9
 
@@ -118,7 +119,7 @@ def select_frames(frames: DataFrame, selector: str, timestep_fs: float | None =
     else:
         raise ValueError(f"unknown frame selector {selector!r}")
     n = frames.agg(F.count("*").alias("_n"), F.max(at if at is not None else F.lit(0.0)).alias("_last"))
-    ranked = frames.withColumn("_i", F.row_number().over(W.orderBy("frame_index")) - 1)
+    ranked = numbered(frames, ["frame_index"], "_i")
     return ranked.join(F.broadcast(n)).where(reduce(lambda p, q: p & q, keep)).drop("_i", "_n", "_last")  # n is one row
 
 

@@ -91,16 +91,27 @@ def interface_view(bins: DataFrame, view: str, value: str, by: str = "bin", side
 
 def available_statistics(stats: DataFrame) -> list[str]:
     """Error statistics that the columns allow, the preferred one first."""
-    have = set(stats.columns)
+    return statistics_of(stats.columns)
+
+
+def statistics_of(columns: list[str]) -> list[str]:
+    have = set(columns)
     ci = ["block_ci"] if {"numerator", "denominator", "block"} <= have else []
     return ci + [c for c in ("block_sem", "block_std", "sample_sem", "sample_std") if c in have] + ["none"]
 
 
 def provenance(stats: DataFrame, wanted: str) -> str:
     """Where an error bar comes from, in words."""
-    if wanted not in available_statistics(stats):
+    return provenance_of(stats.columns, wanted)
+
+
+def provenance_of(columns: list[str], wanted: str) -> str:
+    if wanted not in statistics_of(columns):
         return "none"
-    return {"block_ci": "bootstrap over contiguous blocks", "none": "none"}.get(wanted, f"{wanted.split('_')[1]} over {wanted.split('_')[0]}s")
+    if wanted in ("block_ci", "none"):
+        return {"block_ci": "bootstrap over contiguous blocks", "none": "none"}[wanted]
+    kind, spread = wanted.split("_")
+    return f"{spread} over {kind}s"
 
 
 def unpivot(records: DataFrame, keys: list[str], quantities: list[str]) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schema import BLOCK_FRAMES, BLOCK_MAX, BLOCK_MIN_FRAMES
+from .tables import numbered
 
 
 def block_count(frames: int) -> int:
@@ -21,7 +22,12 @@ def block_count(frames: int) -> int:
 
 def with_blocks(frames: DataFrame, order: str, count: int, name: str = "block") -> DataFrame:
     """Blocks of equal length by order; the first ones get the frames left over. frames: one row per frame."""
-    return frames.withColumn(name, (F.ntile(count).over(W.orderBy(order)) - 1).cast("int"))
+    ranked = numbered(frames, [order], "_i")
+    ranked = ranked.join(F.broadcast(ranked.agg(F.count("*").alias("_n"))))  # one row
+    short, more = F.floor(F.col("_n") / count), F.col("_n") % count
+    first = F.floor(F.col("_i") / (short + 1))
+    block = F.when(F.col("_i") < more * (short + 1), first).otherwise(more + F.floor((F.col("_i") - more * (short + 1)) / F.greatest(short, F.lit(1))))
+    return ranked.withColumn(name, block.cast("int")).drop("_i", "_n")
 
 
 def sem(std: Column, n: Column) -> Column:
@@ -193,6 +199,11 @@ def time_step(frames: DataFrame, time: str = "time_fs") -> DataFrame:
     return d.agg(F.when(F.max("d") - F.min("d") <= 1e-9 * F.max("d"), F.min("d")).alias("time_step_fs"))
 
 
+def batched(frames: DataFrame, order: str, size: int, name: str = "batch") -> DataFrame:
+    """Rows with the number of their run of `size` rows in order."""
+    return numbered(frames, [order], "_i").withColumn(name, F.floor(F.col("_i") / size).cast("long")).drop("_i")
+
+
 def batches(values: list, size: int) -> Iterator[list]:
     for i in range(0, math.ceil(len(values) / size)):
         yield values[i * size : (i + 1) * size]

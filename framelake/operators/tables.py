@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import missing
+from ..shared import cut
 
 NUMERIC_SHARE = 0.95
 COMPARE = {"eq": "__eq__", "ne": "__ne__", "gt": "__gt__", "ge": "__ge__", "lt": "__lt__", "le": "__le__"}
@@ -125,11 +126,20 @@ def union_sources(frames: list[DataFrame], order: str) -> DataFrame:
     return out.withColumn("_own", own).join(before, "source_order").withColumn("new_frame_index", (F.col("_own") + F.col("_before")).cast("long")).drop("_own", "_before")
 
 
+def numbered(frame: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Rows numbered from 0 in order, without a task that sees them all: ranges are sorted side by side and counted first."""
+    ranged = cut(frame.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each partition
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = F.row_number().over(W.partitionBy("_part").orderBy(*order)) - 1
+    return ranged.withColumn("_own", own).join(F.broadcast(before), "_part").withColumn(name, (F.col("_own") + F.col("_before")).cast("long")).drop("_part", "_own", "_before")
+
+
 def append_new(stored: DataFrame, new: DataFrame, key: str, record_id: str = "record_id") -> DataFrame:
     """The rows of new sources, numbered on from the largest id stored; sources that are stored are skipped."""
-    fresh = new.join(stored.select(key), key, "left_anti")
-    top = stored.agg(F.coalesce(F.max(record_id), F.lit(-1)).alias("_top"))
-    return fresh.withColumn("_rank", F.row_number().over(W.orderBy(key))).join(F.broadcast(top)).withColumn(record_id, (F.col("_top") + F.col("_rank")).cast("long")).drop("_rank", "_top")
+    fresh = numbered(new.join(stored.select(key), key, "left_anti"), [key], "_rank")
+    top = stored.agg(F.coalesce(F.max(record_id), F.lit(-1)).alias("_top"))  # one row
+    return fresh.join(F.broadcast(top)).withColumn(record_id, (F.col("_top") + F.col("_rank") + 1).cast("long")).drop("_rank", "_top")
 
 
 def upsert(stored: DataFrame, new: DataFrame, keys: list[str], uid: str | None = None) -> DataFrame:

@@ -48,6 +48,9 @@ def match(a: np.ndarray, b: np.ndarray, basis: np.ndarray, tolerance: float) ->
     d = a[:, None] - b[None]
     d -= np.rint(d)
     r = np.linalg.norm(d @ basis, axis=2)
+    near = r <= tolerance
+    if near.sum(axis=0).max() <= 1 and near.sum(axis=1).max() <= 1:  # no two points compete
+        return [(int(i), int(j), r[i, j]) for i, j in np.argwhere(near)]
     big = tolerance * (len(a) + len(b) + 1)
     cost = np.where(r <= tolerance, r, big)
     if len(a) > len(b):
@@ -55,14 +58,50 @@ def match(a: np.ndarray, b: np.ndarray, basis: np.ndarray, tolerance: float) ->
     return [(i, int(j), r[i, int(j)]) for i, j in enumerate(assign(cost)) if r[i, int(j)] <= tolerance]
 
 
-def symmetries(basis: np.ndarray, tolerance: float = 1e-3) -> list[np.ndarray]:
-    """Integer matrices that keep the lengths and angle of a reduced lateral lattice."""
-    metric, out = basis @ basis.T, []
-    for e in product((-1, 0, 1), repeat=4):
-        m = np.array(e).reshape(2, 2)
-        if abs(round(np.linalg.det(m))) == 1 and np.allclose(m @ metric @ m.T, metric, atol=tolerance * metric.max()):
-            out.append(m)
-    return out
+def reduce_lattice(basis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(t, t @ basis): two shortest independent vectors of a lateral lattice, by Lagrange and Gauss' steps."""
+    t, r = np.eye(2, dtype=int), basis.astype(float).copy()
+    while True:
+        if r[1] @ r[1] < r[0] @ r[0] * (1 - 1e-12):
+            t, r = t[::-1].copy(), r[::-1].copy()
+        k = int(np.rint((r[0] @ r[1]) / (r[0] @ r[0])))
+        if k == 0:
+            return t, r
+        t[1], r[1] = t[1] - k * t[0], r[1] - k * r[0]
+
+
+def symmetries(basis: np.ndarray, tolerance: float = 1e-6) -> list[np.ndarray]:
+    """Integer matrices that keep the lengths and the angle of a lateral lattice, the identity first.
+
+    They are found in a reduced basis, where an image of a basis vector has a bounded number of steps, and taken back to the
+    basis that is given. A lattice that is too flat for this is an error.
+    """
+    t, r = reduce_lattice(basis)
+    metric = r @ r.T
+    reach = int(np.ceil(np.sqrt(metric.diagonal().max() / np.linalg.eigvalsh(metric).min())))
+    if reach > 64:
+        raise ValueError("the lateral cell is too flat to be aligned")
+    steps = np.array(list(product(range(-reach, reach + 1), repeat=2)))
+    size = np.einsum("ni,ij,nj->n", steps, metric, steps)
+    near = tolerance * metric.max()
+    images = [steps[np.abs(size - metric[i, i]) <= near] for i in range(2)]
+    back, out = np.linalg.inv(t), []
+    for a, b in product(*images):
+        m = np.stack([a, b])
+        if abs(a @ metric @ b - metric[0, 1]) <= near and abs(round(np.linalg.det(m))) == 1:
+            out.append(np.rint(back @ m @ t).astype(int))
+    return sorted(out, key=lambda m: (not (m == np.eye(2)).all(), -round(np.linalg.det(m)), m.ravel().tolist()))
+
+
+def lattice_symmetries(bases: DataFrame, key: str) -> DataFrame:
+    """(key, matrix) for the lateral cells (key, basis array<double>), four numbers each."""
+
+    def run(frames):
+        for f in frames:
+            rows = [(k, m.ravel().tolist()) for k, b in zip(f[key], f["basis"]) for m in symmetries(np.array(b, float).reshape(2, 2))]
+            yield pd.DataFrame(rows, columns=[key, "matrix"])
+
+    return bases.select(key, "basis").mapInPandas(run, f"{key} {dict(bases.dtypes)[key]}, matrix array<int>")
 
 
 def suggest(top: np.ndarray, bottom: np.ndarray, basis: np.ndarray, tolerance: float) -> list[dict]:

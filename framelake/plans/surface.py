@@ -224,7 +224,10 @@ def layout(populations: DataFrame, top_trusted: bool, bottom_trusted: bool, wate
     """symmetric, single-top, single-bottom or axis: contact that persists on both sides or on one, else a trusted plane."""
     if requested != "auto":
         return requested
-    rows = {r["side"]: r for r in populations.collect()}  # two rows
+    return layout_of({r["side"]: r for r in populations.collect()}, top_trusted, bottom_trusted, waters)  # two rows
+
+
+def layout_of(rows: dict, top_trusted: bool, bottom_trusted: bool, waters: int) -> str:
     contact = {s: s in rows and rows[s]["mean_count"] >= 0.10 * waters and rows[s]["persistence"] >= 0.90 for s in ("top", "bottom")}
     if all(contact.values()) and top_trusted and bottom_trusted:
         return "symmetric"

@@ -44,15 +44,45 @@ def c3_rdf(spark, sf_dir):
     return out.select("bin", "counts", F.round("g", 6).alias("g"))
 
 
-@query()
-def c4_coordination_from_rdf(spark, sf_dir):
-    """Cutoff from the pair's own curve, then coordination of every centre."""
+_RDF = "least(floor(r / 0.1)::INT, 39)"
+_SHELL = "(4.0 / 3.0 * pi() * (((b.bin + 1) * 0.1::DOUBLE) ** 3 - (b.bin * 0.1::DOUBLE) ** 3))"
+_BY_FRAME = f"""{PAIRS}, n AS (SELECT frame_index, count(*) FILTER (element = 'Pt') AS na, count(*) FILTER (element = 'Au') AS nb FROM atoms GROUP BY 1), e AS (SELECT frame_index, na * nb / 1000.0::DOUBLE AS density FROM n WHERE na > 0 AND nb > 0),
+c AS (SELECT frame_index, {_RDF} AS bin, count(*) AS counts FROM p WHERE ea = 'Pt' AND eb = 'Au' AND r <= 4.0 GROUP BY ALL)"""
+
+
+def platinum_gold(spark, sf_dir):
+    a = atoms(spark, sf_dir)
+    return plans.rdf(a.where("element = 'Pt'"), a.where("element = 'Au'"), frames(spark), L, 4.0, 0.1)
+
+
+@query(f"WITH {_BY_FRAME}, t AS (SELECT bin, sum(counts) AS counts FROM c GROUP BY 1) SELECT b.bin::INT AS bin, round((SELECT sum(density) FROM e) * {_SHELL}, 9) AS expected, round(coalesce(counts, 0) / ((SELECT sum(density) FROM e) * {_SHELL}), 6) AS g FROM range(40) b(bin) LEFT JOIN t USING (bin)")
+def a10_rdf_ratio(spark, sf_dir):
+    return platinum_gold(spark, sf_dir).select("bin", F.round("expected", 9).alias("expected"), F.round("g", 6).alias("g"))
+
+
+@query(f"WITH {_BY_FRAME}, v AS (SELECT b.bin, e.frame_index, coalesce(counts, 0) / (density * {_SHELL}) AS v FROM range(40) b(bin) CROSS JOIN e LEFT JOIN c ON c.bin = b.bin AND c.frame_index = e.frame_index) SELECT bin::INT AS bin, count(*) AS sample_n, round(coalesce(stddev_samp(v), 0), 4) AS sample_std, round(coalesce(stddev_samp(v), 0) / sqrt(count(*)), 4) AS sample_sem FROM v GROUP BY bin")
+def a11_rdf_moments(spark, sf_dir):
+    return platinum_gold(spark, sf_dir).select("bin", F.col("sample_n").cast("long").alias("sample_n"), F.round("sample_std", 4).alias("sample_std"), F.round("sample_sem", 4).alias("sample_sem"))
+
+
+@query(f"""WITH {PAIRS}, w AS (SELECT frame_index, i, sum(CASE WHEN r <= 2.25 THEN 1 WHEN r < 2.75 THEN 0.5 * (1 + cos(pi() * (r - 2.25) / 0.5)) ELSE 0 END) AS s FROM p WHERE ea = 'O' AND eb = 'H' AND r <= 2.75 GROUP BY ALL)
+SELECT a.frame_index, atom_index, round(coalesce(s, 0), 6) AS coordination FROM atoms a LEFT JOIN w ON a.frame_index = w.frame_index AND atom_index = i WHERE element = 'O'""")
+def c4_coordination(spark, sf_dir):
+    """Coordination of every centre within a cutoff that is given."""
     a = atoms(spark, sf_dir)
-    o, h = a.where("element = 'O'"), a.where("element = 'H'")
-    curve = plans.rdf(o, h, frames(spark), L, 4.5).select(F.lit("O-H").alias("pair"), ((F.col("lo") + F.col("hi")) / 2).alias("centre"), "g")
-    found = plans.cutoff(curve, "pair").first()
-    rc = found["cutoff"] if found["cutoff"] == found["cutoff"] else 2.5
-    return plans.coordination(o, h, L, rc)
+    return plans.coordination(a.where("element = 'O'"), a.where("element = 'H'"), L, 2.5).withColumn("coordination", F.round("coordination", 6))
+
+
+@query("SELECT r_regionkey AS pair, round(3.0 + r_regionkey * 0.25, 2)::DOUBLE AS peak, round(5.0 + r_regionkey * 0.25, 2)::DOUBLE AS minimum FROM region")
+def c4_cutoff_from_curve(spark, sf_dir):
+    """Curves with one peak and one valley of known places."""
+    x = F.explode(F.transform(F.sequence(F.lit(0), F.lit(199)), lambda i: i * 0.05))
+    c = A.table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("pair"), x.alias("centre"))
+    u = F.col("centre") - (3.0 + F.col("pair") * 0.25)
+    bump = lambda at, width: F.exp(-0.5 * F.pow((u - at) / width, 2))
+    curve = c.withColumn("g", 1.0 + 2.0 * bump(0.0, 0.4) - 0.9 * bump(2.0, 0.5))
+    out = plans.cutoff(curve, "pair").where(F.abs(F.col("cutoff") - F.col("minimum")) < 0.05)
+    return out.select("pair", F.round("peak", 2).alias("peak"), F.round("minimum", 2).alias("minimum"))
 
 
 @query(f"WITH {AT} SELECT atom_index, frame_index, frame_index * 10 AS step, frame_index * 5.0::DOUBLE AS time_fs, round(x - floor(x / 10.0) * 10.0, 9) AS x, round(z - floor(z / 10.0) * 10.0, 9) AS z FROM atoms WHERE element = 'K'")
@@ -80,6 +110,16 @@ def c6_orientation(spark, sf_dir):
     return out.select("bin", "n_valid", F.round("mean_polar", 6).alias("mean_polar"))
 
 
+_PLANE = BENT.replace("b AS (SELECT", "x AS (SELECT vec_id, height, u1y*u2z - u1z*u2y AS cx, u1z*u2x - u1x*u2z AS cy FROM u), b AS (SELECT")
+
+
+@query(f"WITH {_PLANE}, s AS (SELECT floor(x.height)::INT AS bin, c, cx / sqrt(cx*cx + cy*cy) AS az, CASE WHEN x.height > 5 THEN 1 ELSE -1 END AS side FROM a JOIN x USING (vec_id)) SELECT bin, count(c) AS n_valid, round(avg(c), 6) AS mean_polar, round(avg(az), 6) AS mean_azimuthal FROM s WHERE side = 1 GROUP BY 1")
+def a15_orientation_means(spark, sf_dir):
+    """Both mean angles by height on the upper side."""
+    out = profiles.orientation(profiles.angles(bent(spark, sf_dir), 2, L).where("height > 5"), 1.0)
+    return out.select("bin", "n_valid", F.round("mean_polar", 6).alias("mean_polar"), F.round("mean_azimuthal", 6).alias("mean_azimuthal"))
+
+
 @query(f"WITH {BENT} SELECT floor(height / 0.5)::INT AS bin, least(greatest(floor((c + 1) / 0.2)::INT, 0), 9) AS angle_bin, count(*)::DOUBLE AS counts FROM a GROUP BY ALL")
 def a16_orientation_map(spark, sf_dir):
     return profiles.orientation_map(profiles.angles(bent(spark, sf_dir), 2, L), 0.5, bins=10)
@@ -153,14 +193,49 @@ def g2_layered_surface(spark, sf_dir):
     return surface.layered(slab(spark, sf_dir)).select("frame_index", F.round("value", 9).alias("value"), "size")
 
 
-@query()
+@query(f"""WITH {SLAB}, a AS (SELECT atom_index, median(z) AS h, min(z) AS lo, max(z) AS hi, max({MASS}) AS mass FROM slab GROUP BY 1), g AS (SELECT *, lag(h) OVER (ORDER BY h DESC, atom_index) - h AS gap, max(h) OVER () AS outermost FROM a),
+r AS (SELECT *, row_number() OVER (ORDER BY gap NULLS LAST) AS r, count(gap) OVER () AS k FROM g), b AS (SELECT median(gap) FILTER (r <= greatest(1, k // 2)) AS base, max(gap) AS most FROM r),
+w AS (SELECT base, greatest(0.75 * coalesce((SELECT gap FROM r WHERE gap > 1e-6 AND gap >= greatest(0.25, 3 * base) ORDER BY h DESC LIMIT 1), most), 3 * base, 0.25) AS envelope FROM b),
+t AS (SELECT r.*, times FROM r, w, (VALUES (1.0), (1.5), (2.0), (3.0)) v(times) WHERE outermost - h <= envelope * times), f AS (SELECT min(times) AS times FROM (SELECT times FROM t GROUP BY 1 HAVING count(*) >= 3)),
+c AS (SELECT *, count(*) OVER () AS n, row_number() OVER (ORDER BY atom_index) + 0.1 * row_number() OVER (ORDER BY mass DESC, atom_index) AS combined FROM t WHERE times = (SELECT times FROM f)),
+k AS (SELECT atom_index FROM (SELECT *, row_number() OVER (ORDER BY combined, atom_index) AS place FROM c) WHERE place <= least(greatest(ceil(0.35 * n), 3), 6, n)),
+s AS (SELECT frame_index, median(z) AS m FROM slab JOIN k USING (atom_index) GROUP BY 1 HAVING stddev_pop(z) <= 1.5)
+SELECT f.frame_index, round(m, 9) AS value, CASE WHEN m IS NULL THEN 'missing' ELSE 'direct_rough_low_mobility' END AS provenance FROM (SELECT DISTINCT frame_index FROM slab) f LEFT JOIN s USING (frame_index)""")
 def g3_rough_surface(spark, sf_dir):
-    return surface.rough(slab(spark, sf_dir))
+    return surface.rough(slab(spark, sf_dir)).select("frame_index", F.round("value", 9).alias("value"), "provenance")
+
 
+ESTIMATE = f"{AT}, e AS (SELECT frame_index, CASE WHEN frame_index % 4 <> 3 THEN 5 + frame_index * 0.1 + avg(z) * 0.01 END AS value, (0.5 + 0.04 * frame_index)::DOUBLE AS confidence, (0.1 + 0.01 * frame_index)::DOUBLE AS spread FROM atoms GROUP BY 1)"
 
-@query()
+
+def estimate(spark, sf_dir):
+    """An estimate that lacks every fourth frame."""
+    i = F.col("frame_index")
+    e = A.atoms(spark, sf_dir).groupBy("frame_index").agg(F.avg("z").alias("z"))
+    return e.select("frame_index", F.when(i % 4 != 3, 5 + i * 0.1 + F.col("z") * 0.01).alias("value"), (0.5 + 0.04 * i).alias("confidence"), (0.1 + 0.01 * i).alias("spread"))
+
+
+@query(f"""WITH {ESTIMATE}, ok AS (SELECT *, abs(value - lag(value) OVER (ORDER BY frame_index)) AS d FROM e WHERE value IS NOT NULL),
+q AS (SELECT (SELECT count(*) FROM ok) / (SELECT count(*) FROM e) AS valid_fraction, median(confidence) AS c, least(greatest(1 - median(d) / 1.5, 0), 1) AS smoothness, least(greatest(1 - median(spread) / 0.75, 0), 1) AS spread_quality FROM ok)
+SELECT round(valid_fraction, 9)::DOUBLE AS valid_fraction, round(c, 9)::DOUBLE AS median_confidence, round(smoothness, 9)::DOUBLE AS smoothness, round(spread_quality, 9)::DOUBLE AS spread_quality, round(0.35 * valid_fraction + 0.35 * c + 0.15 * smoothness + 0.15 * spread_quality, 9)::DOUBLE AS score FROM q""")
 def g4_composite_score(spark, sf_dir):
-    return surface.composite(surface.layered(slab(spark, sf_dir)), 0.75)
+    out = surface.composite(estimate(spark, sf_dir), 0.75)
+    return out.select(*(F.round(c, 9).alias(c) for c in out.columns))
+
+
+@query(f"""WITH {SLAB}, g AS (SELECT *, z - lag(z) OVER (PARTITION BY frame_index ORDER BY z, atom_index) AS gap FROM slab), k AS (SELECT *, row_number() OVER (PARTITION BY frame_index ORDER BY gap) AS r, count(*) OVER (PARTITION BY frame_index) AS n FROM g WHERE gap IS NOT NULL),
+b AS (SELECT frame_index, median(gap) FILTER (r <= greatest(1, n // 2)) AS base FROM k GROUP BY 1), c AS (SELECT frame_index, min(z) AS cut FROM g JOIN b USING (frame_index) WHERE gap >= greatest(0.25, 3 * base) GROUP BY 1)
+SELECT frame_index, round(median(z), 9) AS value, count(*) AS size FROM slab JOIN c USING (frame_index) WHERE z < cut GROUP BY 1""")
+def g10_bottom_estimate(spark, sf_dir):
+    """The lower side's plane by the entry of single-sided estimates."""
+    found, mode = surface.estimate(slab(spark, sf_dir), "layered", surface.Options(side="bottom"))
+    assert mode == "layered"
+    return found.select("frame_index", F.round("value", 9).alias("value"), "size")
+
+
+@query(f"WITH {ESTIMATE} SELECT frame_index, frame_index * 10 AS step, round(value, 9)::DOUBLE AS value FROM e")
+def g11_rebound_reference(spark, sf_dir):
+    return surface.bind(estimate(spark, sf_dir), frames(spark).select("frame_index", "step")).select("frame_index", "step", F.round("value", 9).alias("value"))
 
 
 @query("SELECT true AS trusted")
@@ -168,11 +243,22 @@ def g5_trust(spark, sf_dir):
     return surface.trusted(surface.layered(slab(spark, sf_dir)))
 
 
-@query()
+@query(f"""WITH {AT}, e AS (SELECT element, count(*) AS n, max({MASS}) AS mass FROM atoms GROUP BY 1), t AS (SELECT *, n >= greatest(2, ceil(0.08 * sum(n) OVER ())) AS abundant FROM e)
+SELECT element FROM t WHERE abundant AND mass >= 0.25 * (SELECT max(mass) FROM t WHERE abundant) ORDER BY n DESC, mass DESC, element LIMIT 4""")
 def g1_surface_elements(spark, sf_dir):
+    """Atoms that stand in one frame only don't move, so that abundance and mass decide."""
     return surface.surface_elements(A.atoms(spark, sf_dir))
 
 
+@query("SELECT 'E' || (s_suppkey % 5) AS element FROM supplier WHERE false UNION ALL SELECT * FROM (VALUES ('Pt'), ('Au')) t(element)")
+def g1_slow_elements(spark, sf_dir):
+    """Platinum and gold stay in place over the frames, all others move."""
+    n = A.table(spark, sf_dir, "nation").withColumn("frame_index", F.explode(F.sequence(F.lit(0), F.lit(8))))
+    element = F.element_at(F.array(*map(F.lit, ("Pt", "Au", "O", "H", "K"))), (F.col("n_nationkey") % 5 + 1).cast("int"))
+    step = F.when(F.col("n_nationkey") % 5 < 2, 0.001).otherwise(0.5)
+    return surface.surface_elements(n.select("frame_index", F.col("n_nationkey").alias("atom_index"), element.alias("element"), (F.col("n_nationkey") + F.col("frame_index") * step).alias("z")))
+
+
 @query(f"WITH {AT}, p AS (SELECT atom_index, z - (3 + frame_index * 0.01) AS up, (7 - frame_index * 0.01) - z AS down FROM atoms) SELECT atom_index, round(greatest(up, down), 9) AS distance, CASE WHEN up - down > 1e-10 THEN 1 WHEN up - down < -1e-10 THEN -1 ELSE 0 END AS side FROM p")
 def f12_surface_distance(spark, sf_dir):
     f = frames(spark).select("frame_index")
@@ -190,19 +276,37 @@ def f12_single_top_distance(spark, sf_dir):
     return surface.distances(p, plane(3.0), plane(2.0), "single-top", 10.0).select("atom_index", F.round("distance", 9).alias("distance"))
 
 
-def faces(spark, sf_dir):
-    a = A.atoms(spark, sf_dir).where("element IN ('Pt', 'Au')")
-    return a.select("frame_index", "atom_index", "element", F.when(F.col("z") > 5, "top").otherwise("bottom").alias("side"), (F.col("x") / 10).alias("fx"), (F.col("y") / 10).alias("fy"))
+def faces(spark, sf_dir, matrix=((1, 0), (0, 1)), shift=(0.01, 0.02)):
+    """A grid of 5 by 5 points for each of five frames; the lower face is the upper one moved, every sixth point left out."""
+    n = A.table(spark, sf_dir, "nation").withColumn("frame_index", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))))
+    k = F.col("n_nationkey")
+    element = F.when(k % 2 == 0, "Pt").otherwise("Au")
+    fx, fy = F.floor(k / 5) / 5.0 + F.pmod(k * k, F.lit(7)) / 100.0, (k % 5) / 5.0 + F.pmod(k * 3, F.lit(5)) / 100.0
+    top = n.select("frame_index", k.alias("atom_index"), element.alias("element"), F.lit("top").alias("side"), fx.alias("fx"), fy.alias("fy"))
+    moved = [F.pmod(fx * matrix[0][j] + fy * matrix[1][j] + shift[j], F.lit(1.0)) for j in range(2)]
+    bottom = n.where("n_nationkey % 6 <> 5").select("frame_index", (k + 100).alias("atom_index"), element.alias("element"), F.lit("bottom").alias("side"), moved[0].alias("fx"), moved[1].alias("fy"))
+    return top.unionByName(bottom)
+
+
+_MOVED = "round(10.0 * sqrt(0.01 ** 2 + 0.02 ** 2), 6)::DOUBLE"
 
 
-@query()
+@query(f"SELECT f AS frame_index, CASE WHEN n_nationkey % 2 = 0 THEN 'Pt' ELSE 'Au' END AS element, n_nationkey AS top, n_nationkey + 100 AS bottom, {_MOVED} AS r FROM nation, range(5) t(f) WHERE n_nationkey % 6 <> 5")
 def j14_interface_matching(spark, sf_dir):
-    return alignment.matches(faces(spark, sf_dir), [10.0, 0.0, 0.0, 10.0], 2.0)
+    return alignment.matches(faces(spark, sf_dir), [10.0, 0.0, 0.0, 10.0], 0.5).withColumn("r", F.round("r", 6))
 
 
-@query()
+@query("SELECT f AS frame_index, 0 AS rank, round((SELECT count(*) FROM nation WHERE n_nationkey % 6 <> 5) / 25.0, 6)::DOUBLE AS coverage, 0.0::DOUBLE AS rmsd FROM range(5) t(f)")
 def l3_alignment_suggestions(spark, sf_dir):
-    return alignment.suggestions(faces(spark, sf_dir), [10.0, 0.0, 0.0, 10.0], 1.0)
+    """The lower face turned by a right angle and moved: the best suggestion lays it on the upper one again."""
+    out = alignment.suggestions(faces(spark, sf_dir, ((0, 1), (-1, 0)), (0.3, 0.15)), [10.0, 0.0, 0.0, 10.0], 0.2)
+    return out.where("rank = 0").select("frame_index", "rank", F.round("coverage", 6).alias("coverage"), F.round("rmsd", 6).alias("rmsd"))
+
+
+@query(f"WITH {AT}, g AS (SELECT floor(x)::INT AS ix, floor(y)::INT AS iy, count(*)::DOUBLE AS mass FROM atoms GROUP BY ALL), m AS (SELECT (11 - ix) % 10 AS ix, iy, mass * 0.5 AS mass FROM g UNION ALL SELECT (12 - ix) % 10, iy, mass * 0.5 FROM g) SELECT ix, iy, round(sum(mass), 9) AS mass FROM m GROUP BY ALL")
+def l5_mirrored_transfer(spark, sf_dir):
+    g = A.atoms(spark, sf_dir).groupBy(F.floor("x").cast("int").alias("ix"), F.floor("y").cast("int").alias("iy")).agg(F.count("*").cast("double").alias("mass"))
+    return alignment.transfer(g, (10, 10), (0.25, 0.0), (True, False)).select("ix", "iy", F.round("mass", 9).alias("mass"))
 
 
 @query(f"WITH {AT}, g AS (SELECT floor(x)::INT AS ix, floor(y)::INT AS iy, count(*)::DOUBLE AS mass FROM atoms GROUP BY ALL), m AS (SELECT (ix + 2) % 10 AS ix, iy, mass * 0.5 AS mass FROM g UNION ALL SELECT (ix + 3) % 10, iy, mass * 0.5 FROM g) SELECT ix, iy, round(sum(mass), 9) AS mass FROM m GROUP BY ALL")

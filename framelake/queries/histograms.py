@@ -133,17 +133,38 @@ def blocks(spark, sf_dir):
     return f.agg(F.sum("w").cast("double").alias("numerator"), F.count("*").cast("double").alias("denominator")).withColumn("component", F.lit(0))
 
 
-@query()
+BLOCKS = f"{SA}, b AS (SELECT (o % 16)::INT AS block, floor(x / 10000.0)::BIGINT AS bin, sum(w)::DOUBLE AS numerator, count(*)::DOUBLE AS denominator, 0 AS component FROM samples GROUP BY 1, 2)"
+
+
+def weights_sql(blocks, repeats, seed):
+    """The draws' multinomial weights as rows (draw, block, weight); one matrix for all bins."""
+    w = statistics.weights_of(blocks, repeats, seed)
+    return "w(draw, block, weight) AS (VALUES " + ", ".join(f"({i}, {j}, {n})" for i, row in enumerate(w.tolist()) for j, n in enumerate(row) if n) + ")"
+
+
+def interval_sql(blocks, merge, repeats=200, seed=3):
+    """Percentile intervals of each bin's ratio, from merged blocks numbered in order."""
+    return f"""{weights_sql(blocks, repeats, seed)}, m AS (SELECT bin, floor(block / {merge})::INT AS block, sum(numerator) AS num, sum(denominator) AS den FROM b GROUP BY ALL),
+full_ AS (SELECT bin FROM m GROUP BY bin HAVING count(*) = {blocks}), d AS (SELECT bin, draw, sum(weight * num) / sum(weight * den) AS v FROM m JOIN full_ USING (bin) JOIN w USING (block) GROUP BY ALL),
+i AS (SELECT bin, quantile_cont(v, 0.025) AS low, quantile_cont(v, 0.975) AS high FROM d GROUP BY bin)"""
+
+
+@query(f"WITH {BLOCKS}, {interval_sql(16, 1)} SELECT bin, round(low, 6) AS low, round(high, 6) AS high, 16::BIGINT AS n_blocks FROM i")
 def a30_bootstrap(spark, sf_dir):
-    return statistics.bootstrap(blocks(spark, sf_dir), repeats=400, seed=3)
+    out = statistics.bootstrap(blocks(spark, sf_dir), repeats=200, seed=3).where("n_blocks = 16")
+    return out.select("bin", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "n_blocks")
 
 
-@query()
-def a31_block_stability(spark, sf_dir):
-    return statistics.stability(blocks(spark, sf_dir), repeats=200, seed=3)
+def stability_sql():
+    parts = [f"SELECT {m} AS merge, (WITH {interval_sql(16 // m, m)} SELECT round(median(high - low), 6) FROM i) AS median_width" for m in (1, 2, 4)]
+    return f"WITH {BLOCKS} " + " UNION ALL ".join(parts)
 
 
-BLOCKS = f"{SA}, b AS (SELECT (o % 16)::INT AS block, floor(x / 10000.0)::BIGINT AS bin, sum(w)::DOUBLE AS numerator, count(*)::DOUBLE AS denominator, 0 AS component FROM samples GROUP BY 1, 2)"
+@query(stability_sql())
+def a31_block_stability(spark, sf_dir):
+    every = blocks(spark, sf_dir)
+    whole = every.groupBy("bin").agg(F.count("*").alias("k")).where("k = 16").select("bin")
+    return statistics.stability(every.join(whole, "bin"), repeats=200, seed=3).withColumn("median_width", F.round("median_width", 6))
 
 
 @query(f"WITH {BLOCKS} SELECT bin, block, component, numerator * 2.5 AS numerator, denominator FROM b WHERE bin IN (1, 3)")
@@ -281,3 +302,47 @@ def a46_distance_distribution(spark, sf_dir):
     return p
 
 
+
+
+@query(f"WITH {AT} SELECT element, floor(x)::INT AS i_x, floor(y)::INT AS i_y, floor(z)::INT AS i_z, count(*)::DOUBLE AS entities FROM atoms GROUP BY ALL")
+def a4_two_phase_sums(spark, sf_dir):
+    """Sums by bin and frame, merged over the frames."""
+    t = A.atoms(spark, sf_dir).withColumn("one", F.lit(1.0))
+    each = histogram.sparse_grid(t, [(c, 0.0, 1.0) for c in "xyz"], "one", by=["element", "frame_index"])
+    return each.groupBy("element", "i_x", "i_y", "i_z").agg(F.sum("entities").alias("entities"))
+
+
+@query(f"WITH {AT} SELECT frame_index % 3 AS geometry, floor(x / 2)::INT AS i_x, floor(z / 2)::INT AS i_z, count(*)::DOUBLE AS entities, (count(*) FILTER (z > 5) + 0.5 * count(*) FILTER (z = 5))::DOUBLE AS entities_top FROM atoms WHERE element = 'O' GROUP BY ALL")
+def a47_spatial_entities(spark, sf_dir):
+    t = A.atoms(spark, sf_dir).where("element = 'O'").withColumn("one", F.lit(1.0)).withColumn("geometry", F.col("frame_index") % 3).withColumn("side", F.signum(F.col("z") - 5))
+    return histogram.sparse_grid(t, [("x", 0.0, 2.0), ("z", 0.0, 2.0)], "one", "side", ["geometry"]).select("geometry", "i_x", "i_z", "entities", "entities_top")
+
+
+@query(f"""WITH {SA}, f AS (SELECT o % 120 AS frame, g, sum(w)::DOUBLE AS v FROM samples GROUP BY ALL), b AS (SELECT frame, (ntile(4) OVER (ORDER BY frame) - 1)::INT AS block FROM (SELECT DISTINCT frame FROM f)), m AS (SELECT g, block, avg(v) AS m FROM f JOIN b USING (frame) GROUP BY ALL),
+s AS (SELECT g, count(v) AS sample_n, round(avg(v), 6) AS mean, round(stddev_samp(v), 5) AS sample_std FROM f GROUP BY g) SELECT g, sample_n, mean, sample_std, count(m) AS block_n, round(stddev_samp(m) / sqrt(count(m)), 5) AS block_sem FROM s JOIN m USING (g) GROUP BY ALL""")
+def a42_sample_matrix(spark, sf_dir):
+    f = A.samples(spark, sf_dir).groupBy((F.col("o") % 120).alias("frame"), "g").agg(F.sum("w").cast("double").alias("v"))
+    frames = statistics.with_blocks(f.select("frame").distinct(), "frame", statistics.block_count(120))
+    blocked = statistics.block_moments(f.join(frames, "frame"), ["g"], "v").select("g", "block_n", F.round("block_sem", 5).alias("block_sem"))
+    return statistics.moments(f, ["g"], "v").select("g", "sample_n", F.round("mean", 6).alias("mean"), F.round("sample_std", 5).alias("sample_std")).join(blocked, "g")
+
+
+@query(f"""WITH {SA}, c AS (SELECT floor(x / 10000.0)::INT AS i, d, count(*) AS counts FROM samples GROUP BY ALL), t AS (SELECT i, sum(counts) AS n FROM c GROUP BY i), k AS (SELECT *, row_number() OVER (ORDER BY i) AS r, max(n) OVER () AS m FROM t), f AS (SELECT *, r - row_number() OVER (ORDER BY i) AS isl FROM k WHERE n >= 0.8 * m),
+r AS (SELECT min(i) AS a, max(i) AS z, count(*) AS len FROM f GROUP BY isl ORDER BY len DESC, a DESC LIMIT 1), b AS (SELECT d, sum(counts) AS b FROM c, r WHERE i BETWEEN a AND z GROUP BY d)
+SELECT i, c.d, round((counts / sum(counts) OVER (PARTITION BY i)) / (b / (SELECT sum(b) FROM b)), 6) AS value FROM c LEFT JOIN b USING (d)""")
+def d15_enrichment_of_plateau(spark, sf_dir):
+    """Values relative to the bulk rows, which are the longest plateau of the row sums."""
+    c = A.samples(spark, sf_dir).groupBy(F.floor(F.col("x") / 10000.0).cast("int").alias("i"), "d").agg(F.count("*").alias("counts"))
+    rows = c.groupBy("i").agg(F.sum("counts").alias("n")).withColumn("one", F.lit(1))
+    bulk = S.bulk_rows(rows, ["one"], "i", "n")
+    marked = c.join(F.broadcast(bulk.select("start", "stop")))  # one row
+    return histogram.enrichment(marked, "i", "d", F.col("i").between(F.col("start"), F.col("stop"))).select("i", "d", F.round("value", 6).alias("value"))
+
+
+@query(f"WITH {AT} SELECT floor(frame_index / 2)::INT AS i_frame_index, floor(z / 0.5)::INT AS i_z, count(*) AS n, round(avg(x), 6) AS x FROM atoms WHERE x BETWEEN 4 AND 6 GROUP BY ALL")
+def d9_position_projection(spark, sf_dir):
+    """Time by height, coloured by x, of the points whose x is in a range."""
+    from ..operators import select
+
+    p = select.value_filter(A.atoms(spark, sf_dir), "x", 4.0, 6.0)
+    return histogram.histogram(p, [("frame_index", 0.0, 2.0, 5), ("z", 0.0, 0.5, 200)], {"n": F.count("*"), "s": F.sum("x")}).select("i_frame_index", "i_z", "n", F.round(F.col("s") / F.col("n"), 6).alias("x"))

@@ -158,3 +158,37 @@ def k5_upsert(spark, sf_dir):
     stored = A.table(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.col("n_nationkey").alias("uid"))
     new = A.table(spark, sf_dir, "nation").where("n_regionkey = 1").select("n_nationkey", F.lit("new").alias("n_name"), F.lit(-1).alias("uid"))
     return tables.upsert(stored, new, ["n_nationkey"], "uid")
+
+
+@query(f"WITH {PAIRS} SELECT i AS atom_index_a, j AS atom_index_b, round(r, 6) AS r FROM p WHERE i < 60 AND j BETWEEN 20 AND 90 AND r <= 5.0")
+def j4_selected_matrix(spark, sf_dir):
+    from ..operators import select
+
+    at = A.atoms(spark, sf_dir)
+    p = pairs.dense_pairs(at.where(select.species_filter("atoms[0..59]")), at.where(select.species_filter("atoms[20..90]")), L, 5.0)
+    return p.select("atom_index_a", "atom_index_b", F.round("r", 6).alias("r"))
+
+
+@query(f"WITH {PAIRS}, w AS (SELECT frame_index, i, count(*) AS n FROM p WHERE ea = 'K' AND eb = 'Cl' AND r <= 3.0 GROUP BY ALL) SELECT a.frame_index, round(avg(coalesce(n, 0)), 9) AS mean, count(*) AS n FROM atoms a LEFT JOIN w ON a.frame_index = w.frame_index AND atom_index = i WHERE element = 'K' GROUP BY 1")
+def a12_coordination_sum(spark, sf_dir):
+    from ..plans import pairs as plans
+
+    at = A.atoms(spark, sf_dir)
+    out = plans.mean_coordination(plans.coordination(at.where("element = 'K'"), at.where("element = 'Cl'"), L, 3.0, 0.0))
+    return out.select("frame_index", F.round("mean", 9).alias("mean"), "n")
+
+
+@query("SELECT DISTINCT least(o_custkey % 9, o_orderkey % 9) AS a, greatest(o_custkey % 9, o_orderkey % 9) AS b FROM orders")
+def u7_distinct_pairs(spark, sf_dir):
+    o = A.table(spark, sf_dir, "orders").select((F.col("o_custkey") % 9).alias("a"), (F.col("o_orderkey") % 9).alias("b"))
+    return pairs.distinct_pairs(o, "a", "b")
+
+
+@query(f"WITH {AT} SELECT DISTINCT frame_index, frame_index % 2 = 0 AND frame_index < 8 AS valid FROM atoms")
+def t8_topology_cache(spark, sf_dir):
+    """Stored memberships of the first frames; those of odd frames have since lost an atom."""
+    at = A.atoms(spark, sf_dir)
+    stored = pairs.fingerprints(at.where("frame_index < 8"))
+    least = at.groupBy("frame_index").agg(F.min("atom_index").alias("m"))
+    now = at.join(least, "frame_index").where("frame_index % 2 = 0 or atom_index <> m")
+    return pairs.reusable(stored, now)

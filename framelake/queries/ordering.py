@@ -2,7 +2,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import adapters as A
-from ..operators import fits, ordered, statistics
+from ..operators import fits, ordered, statistics, tables
 from . import query
 
 AT, SE, SA = A.ATOMS_SQL, A.SERIES_SQL, A.SAMPLES_SQL
@@ -140,21 +140,57 @@ def d3_logarithmic_fit(spark, sf_dir):
     return out.select("g", F.round("slope", 6).alias("slope"), F.round("intercept", 5).alias("intercept"))
 
 
-@query()
+@query(f"""WITH {SA}, k AS (SELECT g, d::DOUBLE - avg(d) OVER (PARTITION BY g) AS u, w::DOUBLE AS y, avg(d) OVER (PARTITION BY g) AS m FROM samples), q AS (SELECT g, max(m) AS m, avg(u * u) AS v, avg(u ** 3) AS c3, avg(u ** 4) AS c4, avg(y) AS y0, avg(u * y) AS y1, avg(u * u * y) AS y2 FROM k GROUP BY g),
+p AS (SELECT g, m, v, y0, (y2 - v * y0 - c3 / v * y1) / (c4 - v * v - c3 * c3 / v) AS c2, y1, c3 FROM q), r AS (SELECT g, m, c2, (y1 - c2 * c3) / v AS b1, y0 - c2 * v AS b0 FROM p)
+SELECT g, round(b0 - b1 * m + c2 * m * m, 5) AS c0, round(b1 - 2 * c2 * m, 5) AS c1, round(c2, 6) AS c2 FROM r""")
 def d2_parabola(spark, sf_dir):
-    return fits.parabola(A.samples(spark, sf_dir), ["g"], F.col("d").cast("double"), F.col("w").cast("double"))
+    out = fits.parabola(A.samples(spark, sf_dir), ["g"], F.col("d").cast("double"), F.col("w").cast("double"))
+    return out.select("g", F.round("c0", 5).alias("c0"), F.round("c1", 5).alias("c1"), F.round("c2", 6).alias("c2"))
 
 
-@query()
+#: Curves with known parameters, which a fit must find again.
+_CURVES = {
+    "exponential": (lambda x, k: (2.0 + k) * F.exp(-0.3 * x) + 1.0, {"a": "2.0 + k", "b": "-0.3", "c": "1.0"}),
+    "power": (lambda x, k: (1.0 + k) * F.pow(x, 1.5), {"a": "1.0 + k", "b": "1.5"}),
+    "gaussian": (lambda x, k: (3.0 + k) * F.exp(-0.5 * F.pow((x - 5.0) / 1.25, 2)) + 0.5, {"height": "3.0 + k", "centre": "5.0", "sigma": "1.25", "offset": "0.5"}),
+    "lorentzian": (lambda x, k: (4.0 + k) * 0.64 / (F.pow(x - 6.0, 2) + 0.64) + 0.25, {"height": "4.0 + k", "centre": "6.0", "gamma": "0.8", "offset": "0.25"}),
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{m}' AS model, r_regionkey AS series, '{p}' AS parameter, round(({v.replace('k', 'r_regionkey')})::DOUBLE, 3) AS value FROM region" for m, (_, known) in _CURVES.items() for p, v in known.items()))
 def d3_nonlinear_fits(spark, sf_dir):
-    s = A.samples(spark, sf_dir).groupBy("g", F.floor(F.col("x") / 5000.0).cast("double").alias("x")).agg(F.count("*").cast("double").alias("y"))
+    k = A.table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("series"), F.explode(F.sequence(F.lit(1), F.lit(48))).alias("i")).withColumn("x", F.col("i") / 4.0)
     out = None
-    for kind in ("gaussian", "lorentzian", "exponential"):
-        one = fits.nonlinear(s, "g", "x", "y", kind).withColumn("model", F.lit(kind))
+    for kind, (curve, _) in _CURVES.items():
+        fitted = fits.nonlinear(k.withColumn("y", curve(F.col("x"), F.col("series"))), "series", "x", "y", kind)
+        one = fitted.where("parameter not in ('r2', 'rmse')").select(F.lit(kind).alias("model"), "series", "parameter", F.round("value", 3).alias("value"))
         out = one if out is None else out.unionByName(one)
     return out
 
 
+@query(f"WITH {PROFILE}, k AS (SELECT g, x, y - 1000 AS y, lag(x) OVER w AS p, lag(y - 1000) OVER w AS q FROM s WINDOW w AS (PARTITION BY g ORDER BY x)) SELECT g, round(sum((y + q) / 2 * (x - p)), 4) AS signed, round(sum(CASE WHEN y * q < 0 THEN (y * y + q * q) / (2 * (abs(y) + abs(q))) ELSE (abs(y) + abs(q)) / 2 END * (x - p)), 4) AS absolute FROM k WHERE p >= 2 AND x <= 8 GROUP BY g")
+def d4_integral_over_baseline(spark, sf_dir):
+    out = ordered.integrate(profile(spark, sf_dir), ["g"], "x", "y", 2.0, 8.0, 1000.0)
+    return out.select("g", F.round("signed", 4).alias("signed"), F.round("absolute", 4).alias("absolute"))
+
+
+@query(f"WITH {PROFILE} SELECT g, x, round(avg(y) OVER (PARTITION BY g ORDER BY x ROWS UNBOUNDED PRECEDING), 6) AS cumulative FROM s")
+def d5_cumulative_overlay(spark, sf_dir):
+    return ordered.cumulative_average(profile(spark, sf_dir), ["g"], ["x"], "y").select("g", "x", F.round("cumulative", 6).alias("cumulative"))
+
+
+@query(f"WITH {AT}, k AS (SELECT element, atom_index, row_number() OVER (PARTITION BY element ORDER BY abs(z - 5), atom_index) AS r FROM atoms) SELECT element, atom_index FROM k WHERE r <= 6")
+def o4_reference_atoms(spark, sf_dir):
+    return ordered.low_ranks(A.atoms(spark, sf_dir), ["element"], [F.abs(F.col("z") - 5)], "atom_index", 6).select("element", "atom_index")
+
+
+@query("SELECT 0 AS source_order, n_nationkey AS key, n_name AS name, NULL::DOUBLE AS value FROM nation UNION ALL SELECT 1, s_suppkey, NULL, s_acctbal FROM supplier UNION ALL SELECT 2, r_regionkey, r_name, NULL FROM region")
+def u2_field_union(spark, sf_dir):
+    t = lambda n, *c: A.table(spark, sf_dir, n).select(*(F.col(a).alias(b) for a, b in c))
+    out = tables.union_sources([t("nation", ("n_nationkey", "key"), ("n_name", "name")), t("supplier", ("s_suppkey", "key"), ("s_acctbal", "value")), t("region", ("r_regionkey", "key"), ("r_name", "name"))], "key")
+    return out.select("source_order", "key", "name", "value")
+
+
 @query("SELECT s_suppkey % 5 AS region, count(*) AS n, round((sum(m * v * v) - sum(m * v) * sum(m * v) / sum(m)) / ((3 * count(*) - 3) * 1.380649e-23), 3) AS temperature_k FROM (SELECT s_suppkey, 18.0 * 1.66053906660e-27 AS m, s_acctbal / 10.0 AS v FROM supplier) GROUP BY 1")
 def a19_kinetic_temperature(spark, sf_dir):
     v = A.table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 5).alias("region"), F.lit(18.0 * 1.66053906660e-27).alias("mass_kg"), (F.col("s_acctbal") / 10.0).alias("vx"), F.lit(0.0).alias("vy"), F.lit(0.0).alias("vz"))

@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from .. import adapters as A
 from .. import streaming as S
+from ..shared import place
 from . import query
 
 T = A.table
@@ -42,11 +43,16 @@ def t3_streaming_filter(spark, sf_dir):
 
 @query("SELECT DISTINCT user_id FROM events")
 def t6_incremental_append(spark, sf_dir):
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="framelake-")
-    path = f"{base}/records-{uuid.uuid4().hex}"
+    path = place(spark, "records")
     for _ in range(2):  # a restart adds nothing
         S.append_records(stream(spark, sf_dir, "events").select("user_id"), f"{path}/out", "user_id", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{path}/out")
+
+
+@query("SELECT event_id, user_id, event_type FROM events WHERE value > 50")
+def t5_streaming_csv(spark, sf_dir):
+    path = place(spark, "lines")
+    rows = stream(spark, sf_dir, "events").where("value > 50").select("event_id", "user_id", "event_type")
+    for _ in range(2):  # a restart writes nothing twice
+        S.csv_writer(rows, f"{path}/out", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.csv(f"{path}/out", header=True, schema="event_id long, user_id long, event_type string")

@@ -42,7 +42,9 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     ended = F.col("line").rlike(r"^\s*(\*\*\*|===|ENERGY\||MD\|)")
     lines = carry(read_lines(spark, path), section=F.coalesce(name, F.when(ended, F.lit("-"))), step_before=F.when(F.col("line").rlike(SCALARS["md_step"]), F.col("line_no")))
     steps = lines.where(F.col("line").rlike(SCALARS["md_step"])).select(F.col("source").alias("s"), F.regexp_extract("line", SCALARS["md_step"], 1).cast("long").alias("md_step"), F.lag("line_no").over(W.partitionBy("source").orderBy("line_no")).alias("p"))
-    return lines.join(steps, (F.col("source") == F.col("s")) & F.col("step_before").eqNullSafe(F.col("p")), "left").select("source", "line_no", "line", "section", "md_step")
+    out = lines.join(steps, (F.col("source") == F.col("s")) & F.col("step_before").eqNullSafe(F.col("p")), "left")
+    own = F.when(F.col("line").rlike(SCALARS["md_step"]), F.regexp_extract("line", SCALARS["md_step"], 1).cast("long"))  # a step's line is its own
+    return out.select("source", "line_no", "line", "section", F.coalesce(own, "md_step").alias("md_step"))
 
 
 def log_table(log: DataFrame, section: str) -> DataFrame:
@@ -124,14 +126,18 @@ def expand(text: str) -> list[int]:
     return [i - 1 for a, _, b in (p.partition("..") for p in text.split()) for i in range(int(a), int(b or a) + 1)]
 
 
-def thermal_regions(spark: SparkSession, text: str) -> DataFrame:
-    """(region, temperature_k, atom_index) of an input's thermal regions."""
+def region_rows(text: str) -> list[tuple[int, float | None, int]]:
+    """(region, temperature, atom from 0) of an input's thermal regions."""
     body, rows = section_of(text, "MOTION", "MD", "THERMAL_REGION") or section_of(text, "THERMAL_REGION"), []
     for i, part in enumerate(re.split(r"(?im)^\s*&DEFINE_REGION\b.*$", body)[1:], 1):
         t = re.search(rf"(?im)^\s*TEMPERATURE\s+(?:\[\w+\]\s+)?({NUMBER})", part)
-        for a in expand(" ".join(re.findall(r"(?im)^\s*LIST\s+(.*)$", part))):
-            rows.append((i, float(t[1]) if t else None, a))
-    return spark.createDataFrame(rows, "region int, temperature_k double, atom_index int")
+        rows += [(i, float(t[1]) if t else None, a) for a in expand(" ".join(re.findall(r"(?im)^\s*LIST\s+(.*)$", part)))]
+    return rows
+
+
+def thermal_regions(spark: SparkSession, text: str) -> DataFrame:
+    """(region, temperature_k, atom_index) of an input's thermal regions."""
+    return spark.createDataFrame(region_rows(text), "region int, temperature_k double, atom_index int")
 
 
 def temperatures(table: DataFrame, regions: int) -> DataFrame:
@@ -141,7 +147,6 @@ def temperatures(table: DataFrame, regions: int) -> DataFrame:
 
 
 
-
 def log_tables(log: DataFrame, drop: tuple[str, ...] = ()) -> dict[str, DataFrame]:
     """A DataFrame for each section but the dropped ones, which are never planned."""
     out = {k: log_table(log, k) for k in SECTIONS if k not in drop}

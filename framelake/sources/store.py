@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -142,3 +143,42 @@ def pack(tables: dict[str, DataFrame], path: str) -> DataFrame:
 
 def component(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{name}")
+
+
+def read_members(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    """The tables of some components behind one another with their place as profile_index; columns that one lacks are null."""
+    each = [component(spark, path, n).select(F.lit(i).alias("profile_index"), "*") for i, n in enumerate(names)]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), each)
+
+
+def read_records(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
+    """A record table, whose columns must have these types; an error if they don't."""
+    out = spark.read.parquet(path)
+    have = dict(out.dtypes)
+    if wrong := [c for c, t in columns.items() if have.get(c) != t]:
+        raise ValueError(f"{path} lacks {', '.join(wrong)} as expected; compute it again")
+    return out.select(*columns)
+
+
+def typed(df: DataFrame) -> DataFrame:
+    """Text columns of 95 % numbers as doubles; all others as they are. One aggregate."""
+    text = [c for c, t in df.dtypes if t == "string"]
+    if not text:
+        return df
+    shares = df.agg(*(F.count(F.when(~missing(F.col(c)), 1)).alias(f"n{i}") for i, c in enumerate(text)), *(F.count(number(F.col(c))).alias(f"m{i}") for i, c in enumerate(text))).first()
+    numeric = {c for i, c in enumerate(text) if shares[f"n{i}"] > 0 and shares[f"m{i}"] >= NUMERIC_SHARE * shares[f"n{i}"]}
+    return df.select(*(number(F.col(c)).alias(c) if c in numeric else F.col(c) for c in df.columns))
+
+
+def merge_pairs(stored: DataFrame, stored_bins: DataFrame, new: DataFrame, new_bins: DataFrame, rtol: float = 1e-6, atol: float = 1e-8) -> DataFrame:
+    """(species_a, species_b, profile_uid, verdict) of new pair profiles: new, same as the stored one of the pair in either order, or different from it."""
+    pair = lambda d, uid: d.select(F.least("species_a", "species_b").alias("p"), F.greatest("species_a", "species_b").alias("q"), F.col("profile_uid").alias(uid))
+    both = pair(new, "new_uid").join(pair(stored, "old_uid"), ["p", "q"], "left")
+    n, o = (b.select(F.col("profile_uid").alias(u), "bin", "quantity", F.col("value").alias(v)) for b, u, v in ((new_bins, "new_uid", "nv"), (stored_bins, "old_uid", "ov")))
+    seen = both.where("old_uid is not null")
+    left = seen.join(n, "new_uid")
+    right = seen.join(o, "old_uid")
+    off = F.coalesce(F.abs(F.col("nv") - F.col("ov")) > atol + rtol * F.abs(F.col("ov")), F.lit(True))
+    far = left.join(right, ["p", "q", "new_uid", "old_uid", "bin", "quantity"], "full").groupBy("new_uid").agg(F.max(off).alias("differs"))
+    verdict = F.when(F.col("old_uid").isNull(), "new").when(F.col("differs"), "different").otherwise("same")
+    return both.join(far, "new_uid", "left").select(F.col("p").alias("species_a"), F.col("q").alias("species_b"), F.col("new_uid").alias("profile_uid"), verdict.alias("verdict"))

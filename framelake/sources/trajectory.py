@@ -141,6 +141,13 @@ def read_frames(spark: SparkSession, path: str, start: int | None = None, stop:
     return out[0], out[1]
 
 
+def metadata(spark: SparkSession, path: str) -> DataFrame:
+    """(source, n_frames, first_step, last_step, stride) of a stored trajectory, from its frames alone; no stride where it isn't uniform."""
+    f = spark.read.parquet(f"{path}/frames").groupBy("source").agg(F.count("*").alias("n_frames"), F.min("step").alias("first_step"), F.max("step").alias("last_step"), F.count_distinct("step").alias("k"))
+    span = F.try_divide(F.col("last_step") - F.col("first_step"), F.col("n_frames") - 1)
+    return f.select("source", "n_frames", "first_step", "last_step", F.when((F.col("k") == F.col("n_frames")) & (span == F.floor(span)), span.cast("long")).alias("stride"))
+
+
 def write_frames(frames: DataFrame, atoms: DataFrame, path: str, compression: str = "zstd") -> None:
     """Parquet by source, atoms sorted by frame within files so that ranges prune row groups."""
     frames.write.mode("overwrite").option("compression", compression).parquet(f"{path}/frames")

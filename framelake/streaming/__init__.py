@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import place
+
 
 def binned(stream: DataFrame, bin_column: Column, sums: dict[str, Column], by: list[str] | None = None) -> DataFrame:
     """Running sums by bin with fixed bounds; the state is a row for each bin."""
@@ -45,14 +47,15 @@ def append_records(stream: DataFrame, path: str, key: str, checkpoint: str):
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
+def csv_writer(stream: DataFrame, path: str, checkpoint: str):
+    """Rows appended to text tables as they come; the checkpoint keeps a restart from writing them twice."""
+    return stream.writeStream.outputMode("append").format("csv").option("header", True).option("path", path).option("checkpointLocation", checkpoint)
+
+
 def drained(df: DataFrame, mode: str = "complete") -> DataFrame:
     """All that a stream over files yields once it has read them, as Parquet in the shared folder."""
-    import tempfile
-    import uuid
-
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="framelake-")
-    path = f"{base}/stream-{uuid.uuid4().hex}"
+    path = place(spark, "stream")
     how = "overwrite" if mode == "complete" else "append"
     q = df.writeStream.outputMode(mode).foreachBatch(lambda b, _: b.write.mode(how).parquet(f"{path}/out")).option("checkpointLocation", f"{path}/state")
     q.trigger(availableNow=True).start().awaitTermination()
