@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import ctypes
 import ctypes.util
-import tempfile
-import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +14,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import shared
+
 #: Java/Python pattern of a word: everything but the ASCII white space 20 and 09-0D.
 WORD = r"[^\x20\x09-\x0D]+"
 _libc = ctypes.CDLL(ctypes.util.find_library("c")) if ctypes.util.find_library("c") else None
@@ -32,13 +33,37 @@ def n_words(column: str = "text") -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="framelake-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    """The folder that driver and executors share; an error where a cluster has none."""
+    return shared.folder(spark)
+
+
+class Kept:
+    """What operators keep beside their results: persisted frames and stored folders, until release()."""
+
+    def __init__(self) -> None:
+        self.frames: list[DataFrame] = []
+        self.paths: list[str] = []
+
+    def release(self, spark: SparkSession) -> None:
+        for df in self.frames:
+            df.unpersist()
+        for path in self.paths:
+            shared.drop(spark, path)
+        self.frames, self.paths = [], []
+        spark._jvm.System.gc()  # the cleaner follows with shuffles and checkpoints that nothing refers to
+
+
+_collecting: list[Kept] = []
+
+
+@contextmanager
+def keeping(kept: Kept) -> Iterator[None]:
+    """All that is persisted or stored meanwhile is noted, so that it can be released once the results are written."""
+    _collecting.append(kept)
+    try:
+        yield
+    finally:
+        _collecting.pop()
 
 
 #: Rows of a partition of what cut() writes, where it knows how many there are: many small files cost more than they hold.
@@ -56,13 +81,18 @@ def cut(df: DataFrame, rows: int | None = None, each: int = ROWS) -> DataFrame:
 
 def reused(df: DataFrame) -> DataFrame:
     """df kept by the executors, in memory or on their disks; what a lost one held is computed again from the input."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    if _collecting:
+        _collecting[-1].frames.append(df)
+    return df
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """As cut(), but as compressed Parquet, for wide or large rows."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = shared.place(spark, name)
+    if _collecting:
+        _collecting[-1].paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
