@@ -504,14 +504,39 @@ def test_predictive_sums_to_one():
         assert lm.Predictive(k, got, totals)(w, np.full(len(w), c, np.uint16)).sum() == pytest.approx(1, abs=1e-9)
 
 
-def test_seats_stay_consistent():
-    rng = np.random.default_rng(0)
-    c = rng.integers(1, 60, 500)
-    seats = lm.Seats(c, lm.tables_at_first(c, np.full(500, 2.0)), rng)
-    for _ in range(5):
-        seats.sweep(np.full(500, 2.0), 0.6, rng)
-        used = np.add.reduceat(seats.size, seats.off)
-        assert (used == seats.c).all() and (np.add.reduceat((seats.size > 0).astype(int), seats.off) == seats.t[seats.pairs]).all()
+@pytest.mark.parametrize(("c", "weight", "d"), [(2, 0.3, 0.8), (7, 2.0, 0.5), (40, 5.0, 0.8), (600, 5.0, 0.8), (900, 40.0, 0.7), (800, 2000.0, 0.8)])
+def test_tables_against_seatings(c, weight, d):
+    """Drawn numbers of tables against the weights of all seatings, built up customer by customer."""
+    w = np.zeros(c + 2)
+    w[1], scale = 1.0, 0.0
+    for n in range(1, c):  # n customers sit; the next one joins a table or opens one
+        k = np.arange(c + 2)
+        w = w * np.maximum(n - d * k, 0) + np.concatenate([[0], w[:-1]]) * weight
+        w /= w.sum()
+    del scale
+    k = np.arange(c + 2)
+    mean = (w * k).sum()
+    sd = math.sqrt((w * (k - mean) ** 2).sum())
+    got = lm.tables(np.full(4000, c), np.full(4000, weight), d, np.random.default_rng(1))
+    assert abs(got.mean() - mean) < 5 * sd / math.sqrt(4000) + 0.003 * mean
+    assert abs(got.std() - sd) < 0.1 * sd + 0.05
+
+
+def test_held_out_gain(spark):
+    """Texts with an order of words: what follows is told by the word before, so contexts must beat the base score by far."""
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefghijklm", k=4)) for _ in range(120)]
+    follow = {w: rng.sample(words, 3) for w in words}
+    rows = []
+    for i in range(300):
+        w, text = rng.choice(words), []
+        for _ in range(60):
+            text.append(w)
+            w = rng.choice(follow[w])
+        rows.append((i, " ".join(text)))
+    out = lm.score(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").collect()
+    n = sum(r["n_tokens"] for r in out)
+    assert sum(r["score"] for r in out) / n > sum(r["base_score"] for r in out) / n + 0.5
 
 
 # ---- models and indexes in several blocks
