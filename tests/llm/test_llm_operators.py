@@ -154,6 +154,46 @@ def test_randomness_battery():
         assert not secrets.scan(text), text
 
 
+def test_false_discoveries_over_the_corpus(spark):
+    """Random strings among names made of words: few of the findings are names, and few random strings are missed."""
+    rng = random.Random(12)
+    stems = "data value frame report window member signal record market letter number system public water group final light version update search index result parser handler builder".split()
+
+    def name():
+        parts = [rng.choice(stems) for _ in range(rng.randint(4, 7))]
+        parts[rng.randrange(len(parts))] += str(rng.randint(1, 2030))
+        return rng.choice(("_", "/", "")).join(p.title() if rng.random() < 0.5 else p for p in parts)
+
+    secret = lambda: "".join(rng.choices(rng.choice((secrets.ALPHABETS["base64"][:62], secrets.ALPHABETS["base32"], "0123456789ABCDEF")), k=rng.randint(24, 48)))
+    rows, true = [], {}
+    for i in range(400):
+        own = secret() if i % 10 == 0 else None
+        words = [rng.choice(stems) for _ in range(30)] + [name() for _ in range(3)] + ([own] if own else [])
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+        if own:
+            true[i] = own
+    found = secrets.find(spark.createDataFrame(rows, "doc_id long, text string"), keep=["doc_id"]).collect()
+    texts = dict(rows)
+    spans = [(r["doc_id"], texts[r["doc_id"]][x["start"] : x["end"]]) for r in found for x in r["found"] if x["kind"] == "random"]
+    right = sum(true.get(d) == s for d, s in spans)
+    assert right >= 0.9 * len(true)
+    assert len(spans) - right <= 0.05 * len(spans)
+
+
+def test_step_up():
+    """The rule over bins against Benjamini and Hochberg's own on p-values that are the bins' upper edges."""
+    rng = random.Random(3)
+    for _ in range(50):
+        values = [(10 ** -rng.uniform(0, 7), rng.choice((80.0, 128.0, 256.0))) for _ in range(rng.randint(1, 60))]
+        bins = [secrets.bin_of(p, b) for p, b in values]
+        bits, m = sum(b for _, b in values), len(values)
+        weighted = sorted(10 ** (b / secrets.FINE) * bits / m for b in bins)
+        r = max((i for i, p in enumerate(weighted, 1) if p <= secrets.RATE * i / m), default=0)
+        last = secrets.step_up(Counter(bins), bits)
+        assert sum(last is not None and b <= last for b in bins) == r
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "a token=abcdefgh b", 18, "k"), (2, None, None, "k"), (3, "clean", 5, "k")], "doc_id long, text string, n_chars long, redacted string")
     out = {r["doc_id"]: r for r in secrets.redacted(df).collect()}
