@@ -16,8 +16,10 @@ length instead, so that it has a fixed number of rounds:
    neighbours with it. Where a neighbour shares 400 (or 240) bytes, the window that starts in this column repeats.
 
 Each text is one document, so matches never cross documents. Copies of a whole text are found by digest and their
-strings enter once. An anchor with very many strings would make its collection unbounded; its windows are then compared
-as 128-bit hashes by a grouped count, which is spread over all tasks.
+strings enter once, as do equal strings of a text. An anchor with very many strings would make its collection unbounded. The
+starts of its windows are then taken in runs of STEP. A run whose bytes stand elsewhere as a whole repeats, one of which not
+even what all its windows have in common does so doesn't; both are found by a grouped count of 128-bit hashes. Only the
+runs between have their windows hashed and counted one by one. All of it is spread over the tasks.
 """
 
 from __future__ import annotations
@@ -36,7 +38,9 @@ LENGTH, GRAM = 400, 32
 #: Bytes of a window of a passage, and the words that a passage has more than.
 PASSAGE, WORDS = 240, 50
 #: Strings of a collection (equal ones of a text fall together); strings that are worked on at once.
-COLLECTION, BATCH = 20_000, 4_096
+COLLECTION, BATCH = 100_000, 4_096
+#: Starts of windows that are tried at once.
+STEP = 16
 _BITS = 20
 
 
@@ -84,7 +88,7 @@ def repeated(strings: np.ndarray, group: np.ndarray, lengths: tuple[int, ...], s
     columns = np.ascontiguousarray(strings.T)
     group = group.astype(np.int64) * 512
     for q in range(strings.shape[1] - 1, -1, -1):
-        key = group[order] + columns[q][order]
+        key = group[order] + columns[q][order].astype(np.int64)
         if (key[1:] < key[:-1]).any():
             to = np.argsort(key, kind="stable")
             same = np.flatnonzero(key[to[1:]] == key[to[:-1]])
@@ -172,6 +176,21 @@ def removals(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE) -> D
                         some = np.isin(h.view(np.int64), mine)
                         yield key, raw[a:z], p[some], h[some].view(np.int64)
 
+    def once_each(raw: np.ndarray, at: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, int, int, int, bool]]:
+        """(hash, position, start, size, known) of the surroundings of a text's anchors; known ones stand earlier in it."""
+        seen: dict[tuple, int] = {}
+        for p, h in zip(at.tolist(), hashes.tolist()):
+            before, size, digest = surroundings(raw, p)
+            name = (h, before, digest)
+            if name not in seen:
+                seen[name] = p
+                yield h, p, p - before, size, False
+            elif size >= near:  # all its windows stand twice in this text; the first goes on for the others
+                yield h, p, p - before, size, True
+                if (q := seen[name]) >= 0:
+                    yield h, q, q - before, size, True
+                    seen[name] = -1
+
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
 
@@ -179,19 +198,8 @@ def removals(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE) -> D
             return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64()))], names)
 
         for key, raw, at, hashes in texts_of(batches, False):
-            seen: dict[tuple, int] = {}
-            for p, h in zip(at.tolist(), hashes.tolist()):
-                before, size, digest = surroundings(raw, p)
-                start = p - before
-                name = (h, before, digest)
-                if name not in seen:
-                    seen[name] = p
-                    rows.append((h, key, p, raw[start : start + size].tobytes(), None))
-                elif size >= near:  # all its windows stand twice in this text; the first goes on for the others
-                    rows.append((p, key, start, None, start + size))
-                    if (q := seen[name]) >= 0:
-                        rows.append((p, key, q - before, None, q - before + size))
-                        seen[name] = -1
+            for h, p, start, size, known in once_each(raw, at, hashes):
+                rows.append((p, key, start, None, start + size) if known else (h, key, p, raw[start : start + size].tobytes(), None))
                 if len(rows) >= BATCH:
                     yield made()
                     rows = []
@@ -202,7 +210,7 @@ def removals(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE) -> D
     spans_named = ["key", "kind", "start", "end"]
 
     def collection(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        x = np.full((len(rows), left + length), 256, np.uint16)
+        x = np.full((len(rows), left + length), 255, np.uint8)  # a byte that no text has
         at = np.array([r[2] for r in rows], np.int64)
         inside = [np.zeros((len(rows), left + 1), bool) for _ in lengths]
         for i, r in enumerate(rows):
@@ -238,21 +246,64 @@ def removals(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE) -> D
     spans = dealt.mapInArrow(collections, "key binary, kind int, start long, end long")
 
     if not shared.where(F.col("n") > COLLECTION).isEmpty():
+        digest = lambda raw: hashlib.blake2b(raw, digest_size=16).digest()
 
-        def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Runs of starts: what their windows have in common, and all their bytes for either length; strings that are known to repeat have an end instead."""
             for key, raw, at, hashes in texts_of(batches, True):
-                text = raw.tobytes()
-                for p, h in zip(at.tolist(), hashes.tolist()):
-                    for kind, n in enumerate(lengths):
-                        starts = list(range(max(p - left, 0), min(p, len(text) - n) + 1))
-                        digests = [hashlib.blake2b(text[s : s + n], digest_size=16).digest() for s in starts]
-                        some = len(starts)
-                        yield pa.record_batch([pa.array([h] * some, pa.int64()), pa.array(digests, pa.binary()), pa.array([key] * some, pa.binary()), pa.array([kind] * some, pa.int32()), pa.array(starts, pa.int64())], ["hash", "window", "key", "kind", "start"])
-
-        each = stored(found.mapInArrow(windows, "hash long, window binary, key binary, kind int, start long"), "windows")
-        each = each.distinct()  # two anchors of a periodic text share windows
-        twice = each.groupBy("hash", "kind", "window").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+                rows = []
+                for h, p, start, size, known in once_each(raw, at, hashes):
+                    if known:
+                        rows.append((h, key, start, start + size, None, None, None))
+                        continue
+                    for a in range(p - left, p + 1, STEP):  # runs lie alike around equal anchors
+                        first, last = max(a, 0), min(a + STEP - 1, p, len(raw) - near)
+                        if last < first:
+                            continue
+                        place = (p - first).to_bytes(4, "little")
+                        ends = [min(last, len(raw) - n) + n for n in lengths]  # of the last window that fits
+                        whole = [digest(place + raw[first:z].tobytes()) if z >= first + n else None for z, n in zip(ends, lengths)]
+                        core = digest((p - a).to_bytes(4, "little") + raw[a + STEP - 1 : a + near].tobytes())  # every window of the run holds it
+                        rows.append((h, key, first, last, core, *whole))
+                yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.int64(), pa.int64(), *[pa.binary()] * 3))], ["hash", "key", "start", "last", "core", "whole0", "whole1"])
+
+        each = stored(found.mapInArrow(cores, "hash long, key binary, start long, last long, core binary, whole0 binary, whole1 binary"), "cores")
+        known = each.where("core is null").select("key", F.explode(F.array(F.lit(0), F.lit(1))).alias("kind"), "start", F.col("last").alias("end"))
         long = F.when(F.col("kind") == 0, lengths[0]).otherwise(lengths[1])
+        spans = spans.unionByName(known.where(F.col("end") - F.col("start") >= long))
+        each = each.where("core is not null")
+        again = lambda c: each.where(F.col(c).isNotNull()).groupBy("hash", c).agg(F.count("*").alias("n")).where("n > 1").select("hash", c, F.lit(True).alias(f"{c}_again"))
+        for c in ("whole0", "whole1", "core"):
+            each = each.join(again(c), ["hash", c], "left")
+        each = stored(each.select("hash", "key", "start", "last", "core", "whole0", "whole1", *(f"{c}_again" for c in ("whole0", "whole1", "core"))), "runs")
+        fits = keyed.select("key", F.octet_length("text").alias("size")).distinct()
+        for kind, n in enumerate(lengths):
+            run = each.where(F.col(f"whole{kind}_again")).join(fits, "key")
+            spans = spans.unionByName(run.select("key", F.lit(kind).alias("kind"), "start", F.least(F.col("last") + n, F.col("size").cast("long")).alias("end")))
+        settled = F.col("whole1_again").isNotNull() & (F.col("whole0").isNull() | F.col("whole0_again").isNotNull())
+        parts = each.where("core_again").withColumn("settled", settled)
+        loose = parts.where("not settled")
+        # A settled run may hold windows of a loose one: one of each kind is taken along.
+        beside = parts.where("settled").join(loose.select("hash", "core").distinct(), ["hash", "core"], "left_semi")
+        beside = beside.groupBy("hash", "core", "whole0", "whole1").agg(F.min(F.struct("key", "start", "last")).alias("one")).select("hash", "one.*")
+        open_ = loose.select("hash", "key", "start", "last").unionByName(beside).groupBy("key").agg(F.collect_set(F.struct("hash", "start", "last")).alias("runs"))
+
+        def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            before = None
+            for b in chunks(batches):
+                raw, at = utf8(b.column(2))
+                for key, a, z, own in zip(b.column(1).to_pylist(), at, at[1:], b.column(3).to_pylist()):
+                    if key == before:
+                        continue
+                    before, text = key, raw[a:z].tobytes()
+                    starts = sorted({(r["hash"], q) for r in own for q in range(r["start"], r["last"] + 1)})
+                    for c in range(0, len(starts), BATCH):
+                        rows = [(h, digest(text[q : q + n]), key, kind, q) for h, q in starts[c : c + BATCH] for kind, n in enumerate(lengths) if q + n <= len(text)]
+                        yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int64()))], ["hash", "window", "key", "kind", "start"])
+
+        wide = keyed.join(open_.hint("merge"), "key").select("doc_id", "key", "text", "runs")
+        each = stored(wide.mapInArrow(windows, "hash long, window binary, key binary, kind int, start long"), "windows")
+        twice = each.groupBy("hash", "kind", "window").agg(F.count("*").alias("n")).where("n > 1").drop("n")
         spans = spans.unionByName(each.join(twice, ["hash", "kind", "window"], "left_semi").select("key", "kind", "start", (F.col("start") + long).alias("end")))
 
     each = spans.groupBy("key").agg(F.collect_list(F.struct("kind", "start", "end")).alias("spans"))
