@@ -94,7 +94,7 @@ def test_url_mining(spark):
         if i % 2:
             marks.append((i, 0 if bad and rng.random() < 0.9 else 1))
     marks += [(None, 0), (3, None)]
-    out = urls.judge(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(marks, "doc_id long, quality int"), support=0.02, confidence=0.7).collect()
+    out = urls.judge(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(marks, "doc_id long, quality int"), support=0.02, confidence=0.7, least=1).collect()
     # Brute force: all sets of tokens of labelled pages.
     quality_of = {}
     for i, q in marks:
@@ -120,6 +120,22 @@ def test_url_mining(spark):
     assert {r["verdict"] for r in out} == {"allow", "block"}
 
 
+def test_url_mining_of_long_paths(spark):
+    """200 segments that always come together, on one page and on many, and pages with 40 segments of their own choice."""
+    rng = random.Random(9)
+    long = "/".join(f"s{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200))
+    rows = [(i, f"https://x{i % 3}.org.example/{long}/{i}") for i in range(60)]
+    rows += [(100 + i, "https://w.example/" + "/".join(f"w{c}" for c in rng.sample([a + b for a in "abcdefgh" for b in "abcdefgh"], 40))) for i in range(80)]
+    rows += [(300, f"https://y.example/{long}"), (301, "https://z.example/sca"), (302, None)]
+    marks = [(i, 0) for i in range(60)] + [(100 + i, i % 2) for i in range(80)]
+    pages, labels = spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(marks, "doc_id long, quality int")
+    out = {r["page_id"]: r["verdict"] for r in urls.judge(pages, labels).collect()}
+    assert len(out) == len(rows) and all(out[i] == "block" for i in range(60)) and out[300] == "block" and out[302] == "allow"
+    assert out[301] == "block"  # any one of tokens that always stand together
+    few = {r["verdict"] for r in urls.judge(pages.where("page_id < 1"), labels).collect()}
+    assert few == {"allow"}  # one labelled page is no rule
+
+
 # ---- secrets
 
 
@@ -498,7 +514,7 @@ def brute_repeats(rows, length):
 COLUMNS = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
 
-@pytest.mark.parametrize("collection", [20_000, 3])
+@pytest.mark.parametrize("collection", [50_000, 3])
 def test_repeats(spark, docs, rows, none, monkeypatch, collection):
     monkeypatch.setattr(repeats, "COLLECTION", collection)
     rng = random.Random(9)
@@ -514,7 +530,7 @@ def test_repeats(spark, docs, rows, none, monkeypatch, collection):
     assert repeats.cleaned(none).count() == 0
 
 
-@pytest.mark.parametrize("collection", [20_000, 3])
+@pytest.mark.parametrize("collection", [50_000, 3])
 def test_passages(spark, monkeypatch, collection):
     """Planted passages of over 50 words, most of them under 400 bytes, and clean texts; against brute force over bytes."""
     monkeypatch.setattr(repeats, "COLLECTION", collection)
