@@ -77,7 +77,7 @@ def mix(docs: DataFrame, *, block_words: int = 64, shard_slots: int = 1 << 16, w
     Null text: no words. Null source: a source of its own, the last. Repeated rows count as often as they stand. An
     empty table gives empty frames. Documents without words have no piece.
     """
-    sized = reused(docs.select("doc_id", "source", n_words().alias("size")))
+    sized = reused(docs.select("doc_id", "source", n_words().alias("size"), F.xxhash64("text").alias("mark")))  # tells rows without an id apart
     n_docs = sized.count()
     buckets = max(1, math.ceil(n_docs / 2_000))
 
@@ -89,11 +89,11 @@ def mix(docs: DataFrame, *, block_words: int = 64, shard_slots: int = 1 << 16, w
     sources = cut(sources.withColumn("slots", passes * F.col("blocks") + part), n_docs)
 
     # Where each document starts: sums over (source, bucket), then within each.
-    d = sized.withColumn("key", source_key()).withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
+    d = sized.withColumn("key", source_key()).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "mark"), F.lit(buckets)))
     sums = d.groupBy("key", "bucket").agg(F.sum("size").alias("in_bucket"))
     ahead = W.partitionBy("key").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select("key", "bucket", F.coalesce(F.sum("in_bucket").over(ahead), F.lit(0)).alias("ahead"))
-    within = W.partitionBy("key", "bucket").orderBy(F.col("doc_id").asc_nulls_first(), "size").rowsBetween(W.unboundedPreceding, -1)
+    within = W.partitionBy("key", "bucket").orderBy(F.col("doc_id").asc_nulls_first(), "size", "mark").rowsBetween(W.unboundedPreceding, -1)
     d = d.withColumn("within", F.coalesce(F.sum("size").over(within), F.lit(0))).join(sums, ["key", "bucket"])
     d = d.select("doc_id", "source", "key", "size", (F.col("ahead") + F.col("within")).alias("start"))
 
