@@ -103,11 +103,22 @@ def profile(frame: DataFrame) -> DataFrame:
 
 
 def numeric_statistics(frame: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
-    """count, min, max, mean, median, std, var, sum, quartiles, 5th and 95th percentile, iqr; linear interpolation."""
+    """count, min, max, mean, median, std, var, sum, quartiles, 5th and 95th percentile, iqr; linear interpolation.
+
+    Quantiles of a whole column come from the ranks of its values, which no task sees at once; those of groups from a
+    state with each group's distinct values.
+    """
     x = numeric(F.col(column))
-    q = lambda p: F.percentile(x, F.lit(p))
     named = {"q05": 0.05, "q25": 0.25, "median": 0.5, "q75": 0.75, "q95": 0.95}
-    out = (frame.groupBy(*by) if by else frame).agg(F.count(x).alias("n"), F.min(x).alias("min_value"), F.max(x).alias("max_value"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.var_samp(x).alias("var"), F.sum(x).alias("total"), *(q(p).alias(k) for k, p in named.items()))
+    sums = [F.count(x).alias("n"), F.min(x).alias("min_value"), F.max(x).alias("max_value"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.var_samp(x).alias("var"), F.sum(x).alias("total")]
+    if by:
+        out = frame.groupBy(*by).agg(*sums, *(F.percentile(x, F.lit(p)).alias(k) for k, p in named.items()))
+    else:
+        whole = frame.agg(*sums)
+        ranked = numbered(frame.select(x.alias("x")).where("x is not null"), ["x"], "rank").join(F.broadcast(whole.select("n")))  # one row
+        share = lambda p: F.greatest(F.lit(0.0), 1 - F.abs(F.col("rank") - (F.col("n") - 1) * p))
+        near = ranked.where(reduce(lambda a, b: a | b, (share(p) > 0 for p in named.values())))
+        out = whole.join(F.broadcast(near.agg(*(F.sum(F.col("x") * share(p)).alias(k) for k, p in named.items()))))  # one row
     return out.withColumn("iqr", F.col("q75") - F.col("q25"))
 
 

@@ -121,3 +121,10 @@ def a23_numeric_statistics(spark, sf_dir):
 @query("SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1 ORDER BY n DESC, 1 LIMIT 5")
 def a24_categorical_statistics(spark, sf_dir):
     return tables.top_values(T(spark, sf_dir, "customer"), "c_mktsegment")
+
+
+@query("SELECT count(x) AS n, round(quantile_cont(x, 0.05), 6) AS q05, round(median(x), 6) AS median, round(quantile_cont(x, 0.95), 6) AS q95, round(quantile_cont(x, 0.75) - quantile_cont(x, 0.25), 6) AS iqr FROM (SELECT CASE WHEN l_linenumber = 4 THEN NULL ELSE l_extendedprice END AS x FROM lineitem)")
+def a23_column_quantiles(spark, sf_dir):
+    x = F.when(F.col("l_linenumber") != 4, F.col("l_extendedprice"))
+    out = tables.numeric_statistics(T(spark, sf_dir, "lineitem").select(x.alias("x")), "x")
+    return out.select("n", *(F.round(c, 6).alias(c) for c in ("q05", "median", "q95", "iqr")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import place
+from ..sources.store import exists
 
 
 def binned(stream: DataFrame, bin_column: Column, sums: dict[str, Column], by: list[str] | None = None) -> DataFrame:
@@ -32,19 +33,12 @@ def spatial_filter(stream: DataFrame, ranges: list[tuple[str, float, float]]) ->
 
 
 def append_records(stream: DataFrame, path: str, key: str, checkpoint: str):
-    """Each source once, in Parquet: a micro-batch leaves out what is stored; a repeated one adds nothing."""
-
-    def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        new = batch.dropDuplicates([key])
-        try:
-            new = new.join(spark.read.parquet(path).select(key), key, "left_anti")
-        except Exception as e:  # nothing stored yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        new.write.mode("append").parquet(path)
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    """Each source once, in Parquet: keys that are seen are state of the stream, and what was stored when it starts is left out."""
+    spark = stream.sparkSession
+    new = stream.dropDuplicates([key])
+    if exists(spark, path):
+        new = new.join(spark.read.parquet(path).select(key), key, "left_anti")
+    return new.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint)
 
 
 def csv_writer(stream: DataFrame, path: str, checkpoint: str):
