@@ -25,6 +25,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
     """All queries and their SQL."""
-    from . import analyses, histograms, joins, ordering, parsing, scalars, selections, storage, streams, tables  # noqa: F401
+    from . import analyses, figures, histograms, joins, ordering, parsing, scalars, selections, storage, streams, tables  # noqa: F401
 
     return QUERIES, ORACLE
