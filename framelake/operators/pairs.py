@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geometry import cartesian, distance, minimum_image, taper
@@ -139,15 +140,14 @@ def molecules(atoms: DataFrame, bond: DataFrame) -> DataFrame:
     A hydrogen with several oxygens is ambiguous, and so are these; an oxygen with an ambiguous hydrogen or with more than
     three hydrogens is in no molecule.
     """
-    h_deg = bond.groupBy("frame_index", "h").agg(F.count("*").alias("deg"))
-    edges = bond.join(h_deg, ["frame_index", "h"])
+    edges = bond.withColumn("deg", F.count("*").over(W.partitionBy("frame_index", "h")))  # a hydrogen has few oxygens
     own = edges.groupBy("frame_index", "o").agg(F.sort_array(F.collect_list("h")).alias("hs"), F.max("deg").alias("most"))
     oxygen = atoms.where("element = 'O'").select("frame_index", F.col("atom_index").alias("o")).join(own, ["frame_index", "o"], "left")
     hs = F.coalesce(F.col("hs"), F.array().cast("array<long>"))
     kinds = F.element_at(F.array(*(F.lit(f"mol:{k}") for k in ("O", "OH", "H2O", "H3O"))), F.size("hs") + 1)
     heavy = oxygen.withColumn("hs", hs).where((F.coalesce("most", F.lit(0)) <= 1) & (F.size("hs") <= 3))
     heavy = heavy.select("frame_index", kinds.alias("label"), F.col("o").alias("anchor"), F.concat(F.array(F.col("o").cast("long")), "hs").alias("members"))
-    free = atoms.where("element = 'H'").select("frame_index", F.col("atom_index").alias("h")).join(h_deg, ["frame_index", "h"], "left_anti")
+    free = atoms.where("element = 'H'").select("frame_index", F.col("atom_index").alias("h")).join(bond.select("frame_index", "h"), ["frame_index", "h"], "left_anti")
     free = free.select("frame_index", F.lit("mol:H").alias("label"), F.col("h").alias("anchor"), F.array(F.col("h").cast("long")).alias("members"))
     return heavy.unionByName(free)
 
@@ -192,8 +192,6 @@ def ordered_pairs(species: DataFrame) -> DataFrame:
 
 def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, value: str) -> DataFrame:
     """The last right value at or before each left row, by key: both sides in one window, so no row meets more than its own."""
-    from pyspark.sql import Window as W
-
     both = left.withColumn("_t", F.col(left_time)).withColumn("_k", F.lit(1)).withColumn("_v", F.lit(None).cast(dict(right.dtypes)[value])).unionByName(
         right.select(key, F.col(right_time).alias("_t"), F.lit(0).alias("_k"), F.col(value).alias("_v")), allowMissingColumns=True
     )
