@@ -417,6 +417,12 @@ def test_quality_rejects_bad_texts(spark):
     assert len(gone - bad) <= 0.02 * len(every - bad)
 
 
+def test_counts_merged_in_turn(docs, monkeypatch):
+    whole = sorted(map(repr, quality.judge(docs, keep=["doc_id"]).select("doc_id", "judged.*").collect()))
+    monkeypatch.setattr(quality, "SLICES", 1)
+    assert sorted(map(repr, quality.judge(docs.repartition(7), keep=["doc_id"]).select("doc_id", "judged.*").collect())) == whole
+
+
 # ---- SimHash
 
 
