@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import ctypes.util
+import gc
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -37,6 +38,12 @@ def shared_folder(spark: SparkSession) -> str:
     return shared.folder(spark)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove shuffles and checkpoints that nothing refers to, which it learns from the garbage collectors."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 class Kept:
     """What operators keep beside their results: persisted frames and stored folders, until release()."""
 
@@ -50,7 +57,7 @@ class Kept:
         for path in self.paths:
             shared.drop(spark, path)
         self.frames, self.paths = [], []
-        spark._jvm.System.gc()  # the cleaner follows with shuffles and checkpoints that nothing refers to
+        sweep(spark)
 
 
 _collecting: list[Kept] = []

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, sweep
 
 #: Nodes with more neighbours than LEAST, and than leaves HOT such nodes, are hot.
 LEAST, HOT = 1_000, 1 << 20
@@ -42,4 +42,6 @@ def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
         if now == before:
             break
         before = now
+        del both, least, near
+        sweep(e.sparkSession)
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
