@@ -57,9 +57,10 @@ def observed_bounds(points: DataFrame, axes: list[str]) -> DataFrame:
     return points.agg(*(f(c).alias(f"{n}_{c}") for c in axes for n, f in (("min", F.min), ("max", F.max))))
 
 
-def histogram(points: DataFrame, axes: list[tuple[str, float, float, int]], sums: dict[str, Column], by: list[str] | None = None) -> DataFrame:
-    """Sums by bin of each axis (column, start, width, n); index columns are called i_<column>."""
-    keys = [bin_index(F.col(c), start, width, n).alias(f"i_{c}") for c, start, width, n in axes]
+def histogram(points: DataFrame, axes: list[tuple[str, float, float, int | None]], sums: dict[str, Column], by: list[str] | None = None) -> DataFrame:
+    """Sums by bin of each axis (column, start, width, n); index columns are called i_<column>. Without n, bins go on to either side."""
+    at = lambda v, start, width, n: F.floor((v - start) / width).cast("int") if n is None else bin_index(v, start, width, n)
+    keys = [at(F.col(c), start, width, n).alias(f"i_{c}") for c, start, width, n in axes]
     return points.groupBy(*(by or []), *keys).agg(*(v.alias(k) for k, v in sums.items()))
 
 

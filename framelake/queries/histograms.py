@@ -345,4 +345,4 @@ def d9_position_projection(spark, sf_dir):
     from ..operators import select
 
     p = select.value_filter(A.atoms(spark, sf_dir), "x", 4.0, 6.0)
-    return histogram.histogram(p, [("frame_index", 0.0, 2.0, 5), ("z", 0.0, 0.5, 200)], {"n": F.count("*"), "s": F.sum("x")}).select("i_frame_index", "i_z", "n", F.round(F.col("s") / F.col("n"), 6).alias("x"))
+    return histogram.histogram(p, [("frame_index", 0.0, 2.0, None), ("z", 0.0, 0.5, None)], {"n": F.count("*"), "s": F.sum("x")}).select("i_frame_index", "i_z", "n", F.round(F.col("s") / F.col("n"), 6).alias("x"))

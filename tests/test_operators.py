@@ -243,6 +243,12 @@ def test_alignment(spark):
     assert moved.agg(F.sum("mass")).first()[0] == pytest.approx(grid.agg(F.sum("mass")).first()[0])
 
 
+def test_histogram_without_bounds(spark):
+    points = spark.createDataFrame([(-0.7,), (0.2,), (99.9,), (150.0,)], "z double")
+    got = sorted(map(tuple, histogram.histogram(points, [("z", 0.0, 0.5, None)], {"n": F.count("*")}).collect()))
+    assert got == [(-2, 1), (0, 1), (199, 1), (300, 1)]
+
+
 # ---- ordered and series
 
 
