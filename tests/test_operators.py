@@ -250,6 +250,12 @@ def test_transfer_of_bins_beside_the_cell(spark):
     assert got == [(1, 2, 2.0), (2, -1, 1.0), (2, 2, 2.0), (3, -1, 1.0), (5, 10, 3.0), (6, 10, 3.0)]
 
 
+def test_mirrored_transfer_of_bins_beside_the_cell(spark):
+    grid = spark.createDataFrame([(-1, 2, 4.0), (10, -1, 2.0), (3, 10, 6.0)], "ix int, iy int, mass double")
+    got = sorted(map(tuple, alignment.transfer(grid, (10, 10), (0.25, 0.0), (True, False)).select("ix", "iy", "mass").collect()))
+    assert got == [(1, -1, 1.0), (2, -1, 1.0), (2, 2, 2.0), (3, 2, 2.0), (8, 10, 3.0), (9, 10, 3.0)]
+
+
 def test_histogram_without_bounds(spark):
     points = spark.createDataFrame([(-0.7,), (0.2,), (99.9,), (150.0,)], "z double")
     got = sorted(map(tuple, histogram.histogram(points, [("z", 0.0, 0.5, None)], {"n": F.count("*")}).collect()))
