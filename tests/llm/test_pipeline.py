@@ -145,3 +145,16 @@ def test_empty_corpus(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_driver_gives_freed_memory_back(spark, docs, monkeypatch):
+    """Every stage that cuts its lineage, and every sweep, trims what the driver's JVM holds outside its heap."""
+    from framelake.llm import common, mixing
+
+    assert common.trim(spark)
+    calls = []
+    monkeypatch.setattr(common, "trim", lambda s: calls.append(s))
+    mixing.taken(mixing.mix(docs)).count()
+    assert calls
+    common.sweep(spark)
+    assert len(calls) > 1
