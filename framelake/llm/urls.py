@@ -7,8 +7,10 @@ classes as it has.
 
 Tokens that stand on the same labelled pages are one class: rules with one or another of them have the same support and
 confidence, and a rule with two of them is no better than the one with either, so that nothing is lost and a long path counts
-as one item where it always comes as a whole. A set must stand on LEAST pages, however few are labelled. A page with over
-WIDE frequent classes counts for rules of one class only, as its sets would be too many to list.
+as one item where it always comes as a whole. A set must stand on LEAST pages, however few are labelled. Where a page has over
+WIDE frequent classes, FP-growth would list all sets of them, and sets are grown class by class instead, over all pages: only
+from sets that stand on fewer pages than each set within them and are not bad throughout, as no other has more confidence than
+every shorter rule within it. The rules are the same.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import reused
+from .common import cut, reused
 
 #: Fixed list: (verdict, host, path).
 LIST = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -60,20 +62,43 @@ def classes(bags: DataFrame, least: int) -> DataFrame:
     return seen.join(seen.groupBy("n", "a", "b").agg(F.min("token").alias("class")), ["n", "a", "b"]).select("token", "class")
 
 
+def grown(each: DataFrame, enough: int) -> DataFrame:
+    """(items, n, b): the sets of classes that stand on enough bad pages and may be a better rule than those within them, with their pages and bad ones, for (page, bad, class)."""
+    count = lambda rows: cut(rows.groupBy("items").agg(F.count("*").alias("n"), F.count_if("bad").alias("b")).where(F.col("b") >= enough))
+    rows = each.select("page", "bad", F.array("class").alias("items"))
+    level = count(rows)
+    found, more = level, None
+    while True:
+        open_ = level.where("b < n").select("items", "n")
+        rows = cut(rows.join(open_.select("items"), "items", "left_semi"))
+        if rows.isEmpty():
+            return found
+        more = rows.select("page", F.element_at("items", 1).alias("class")) if more is None else more
+        wider = count(rows.join(more, "page").where(F.col("class") > F.element_at("items", -1)).select("page", "bad", F.array_append("items", F.col("class")).alias("items")))
+        less = wider.select("items", "n", F.explode(F.transform("items", lambda x: F.array_remove("items", x))).alias("less")).join(open_.select(F.col("items").alias("less"), F.col("n").alias("of")), "less")
+        whole = less.groupBy("items").agg(F.count("*").alias("k"), F.min("of").alias("of"), F.min("n").alias("n")).where((F.col("k") == F.size("items")) & (F.col("of") > F.col("n")))
+        level = cut(wider.join(whole.select("items"), "items", "left_semi"))
+        rows = rows.join(more, "page").where(F.col("class") > F.element_at("items", -1)).select("page", "bad", F.array_append("items", F.col("class")).alias("items")).join(level.select("items"), "items", "left_semi")
+        found = found.unionByName(level)
+
+
 def mined(bags: DataFrame, *, support: float = SUPPORT, confidence: float = CONFIDENCE, least: int = LEAST) -> DataFrame:
     """(mined, token, class, size, confidence): the inverted index of the rules from classes to BAD, for (page, bag, bad)."""
     n = bags.count()
     enough = max(least, math.ceil(support * n - 1e-9))
     of = reused(classes(bags, enough))
     items = bags.select("page", "bad", F.explode("bag").alias("token")).join(of, "token").groupBy("page", "bad").agg(F.collect_set("class").alias("items"))
-    wide = F.size("items") > WIDE
-    baskets = items.select("bad", F.explode(F.when(wide, F.transform("items", lambda x: F.array(x))).otherwise(F.array("items"))).alias("items"))
-    baskets = reused(baskets.select(F.when(F.col("bad"), F.array_append("items", F.lit(BAD))).otherwise(F.col("items")).alias("items")))
-    total = baskets.count()
+    items = reused(items)
+    total, most = items.agg(F.count("*"), F.coalesce(F.max(F.size("items")), F.lit(0))).first()
     if total < enough:
         return bags.sparkSession.createDataFrame([], "mined string, token string, class string, size int, confidence double")
-    found = FPGrowth(itemsCol="items", minSupport=(enough - 0.5) / total, minConfidence=confidence).fit(baskets).associationRules
-    rules = found.where(F.element_at("consequent", 1) == BAD).select(F.array_sort("antecedent").alias("items"), "confidence")
+    if most <= WIDE:
+        baskets = reused(items.select(F.when(F.col("bad"), F.array_append("items", F.lit(BAD))).otherwise(F.col("items")).alias("items")))
+        found = FPGrowth(itemsCol="items", minSupport=(enough - 0.5) / total, minConfidence=confidence).fit(baskets).associationRules
+        rules = found.where(F.element_at("consequent", 1) == BAD).select(F.array_sort("antecedent").alias("items"), "confidence")
+    else:
+        found = grown(items.select("page", "bad", F.explode("items").alias("class")), enough)
+        rules = found.select("items", (F.col("b") / F.col("n")).alias("confidence")).where(F.col("confidence") >= confidence)
     short = rules.select(F.col("items").alias("less"), F.col("confidence").alias("also"))
     keyed = rules.withColumn("class", F.explode("items"))
     wider = keyed.join(short.withColumn("class", F.explode("less")), "class")
