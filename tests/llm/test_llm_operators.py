@@ -748,6 +748,44 @@ def test_held_out_gain(spark):
     assert sum(r["score"] for r in out) / n > sum(r["base_score"] for r in out) / n + 0.5
 
 
+def test_contexts_are_whole_words(spark):
+    """What follows is told by the whole word before, whose last two letters tell nothing."""
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghijklm", k=5)) + "ed" for _ in range(120)]
+    follow = {w: rng.sample(words, 3) for w in words}
+    rows = []
+    for i in range(300):
+        w, text = rng.choice(words), []
+        for _ in range(60):
+            text.append(w)
+            w = rng.choice(follow[w])
+        rows.append((i, " ".join(text)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = lm.score(df).where("held_out").collect()
+    n = sum(r["n_tokens"] for r in out)
+    assert sum(r["score"] for r in out) / n > sum(r["base_score"] for r in out) / n + 1.0
+
+
+def test_whole_word_predictive_sums_to_one():
+    """Over all known words and the unknown one, behind known contexts, one that has only held-out words and one that was never seen."""
+    rng = np.random.default_rng(3)
+    h, x = rng.integers(1, 40, 3000).astype(np.uint64), rng.choice(np.array([0, 5, (7 << 16) + 5, (9 << 16) + 5, (3 << 16) + 512 + 7], np.uint64), 3000)
+    words, many, ctx, n = lm.typed(h, x, np.ones(3000, np.int64))
+    contexts = np.unique(np.append(ctx, np.uint64((11 << 16) + 5)))
+    k = lm.Pairs(lm.pack_sorted(contexts), lm.pack_sorted(words), lm.pack(many), lm.planes(np.searchsorted(contexts, ctx).astype(np.uint32)), lm.pack(n))
+    assert k.c3.sum() == k.count.sum() == 3000 and (k.count == np.bincount(h.astype(int))[words.astype(int)]).all()
+    d, ones = k.dishes, np.ones(len(k.at), np.int64)
+    of = lambda t3, t2, t1, t0: lm.Totals(np.bincount(d.x, k.customers(t3), 1 << 16), np.bincount(d.x, t2, 1 << 16), np.bincount(d.y, t1, 256), float(t0.sum()), (0.7, 0.6, 0.5, 0.8), len(words))
+    first = of(ones, *(np.ones(m, np.int64) for m in d.sizes))
+    got = lm.sampled(d, first, 1, 2, k, k.of_contexts(ones))
+    for t3, t2, t1, t0 in got:
+        assert (t3 >= 1).all() and (t3 <= k.c3).all() and (t2 <= k.customers(t3)).all() and (t1 <= np.bincount(d.of, t2)).all() and (t0 <= np.bincount(d.w1, t1)).all()
+    p = lm.Whole(k, got, [of(*s) for s in got], k.of_contexts(k.c3), np.stack([k.of_contexts(s[0]) for s in got]))
+    for c in (*contexts, (13 << 16) + 5, (13 << 16) + 77):
+        w = np.concatenate([np.arange(len(words)), [-1]])
+        assert p(w, np.full(len(w), c, np.uint64)).sum() == pytest.approx(1, abs=1e-9)
+
+
 # ---- models and indexes in several blocks
 
 
