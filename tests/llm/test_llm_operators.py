@@ -4,14 +4,16 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 import xxhash
 
-from framelake.llm import chat, decontaminate, licenses, lm, mixing, quality, repeats, secrets, simhash, urls
+from framelake.llm import chat, common, decontaminate, licenses, lm, mixing, quality, repeats, secrets, simhash, urls
 
 UP = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -679,6 +681,20 @@ def test_passages(spark, monkeypatch, collection):
     same(repeats.cleaned(df), brute_repeats(rows, 400), COLUMNS)
 
 
+def test_stored_leaves_no_shuffle(spark):
+    """What a stored frame has read of shuffles is off the disks before the next one is written."""
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {f for d in dirs for f in Path(d).rglob("shuffle_*.data")}
+    before = files()
+    df = common.stored(spark.range(5000).repartition(3, "id").sortWithinPartitions("id"), "shuffled")
+    for _ in range(50):  # executors remove them in threads of their own
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+    assert df.count() == 5000 and spark.conf.get(common.CLEAN) == "false"
+
+
 # ---- language model
 
 
