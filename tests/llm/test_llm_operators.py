@@ -681,6 +681,24 @@ def test_passages(spark, monkeypatch, collection):
     same(repeats.cleaned(df), brute_repeats(rows, 400), COLUMNS)
 
 
+@pytest.mark.parametrize("kept", [lambda df: common.cut(df), lambda df: common.cut(df, 5000)])
+def test_cut_leaves_no_shuffle(spark, kept):
+    """Nor does a frame whose lineage is cut; one that is persisted below it keeps its own."""
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {f for d in dirs for f in Path(d).rglob("shuffle_*.data")}
+    below = common.reused(spark.range(5000).repartition(3, "id"))
+    assert below.count() == 5000
+    before = files()
+    df = kept(below.groupBy((below["id"] % 7).alias("k")).count())
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+    assert df.count() == 7 and below.count() == 5000
+    below.unpersist()
+
+
 def test_stored_leaves_no_shuffle(spark):
     """What a stored frame has read of shuffles is off the disks before the next one is written."""
     dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
