@@ -10,6 +10,7 @@ from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -681,6 +682,25 @@ def test_passages(spark, monkeypatch, collection):
     same(repeats.cleaned(df), brute_repeats(rows, 400), COLUMNS)
 
 
+def test_quality_rounds_sort_their_share(rows):
+    """The pairs of the rounds' shares are those of the whole block in the same order, and no round takes the others'."""
+    raw, at = common.utf8(pa.array([r[1] or "" for r in rows]))
+    t = quality.tokens(raw, at, [r[2] or "n" for r in rows])
+    often = np.bincount(quality.word_place(t.before), minlength=quality.WORDS) > 20
+
+    def pairs(block):
+        to, u, w, n, _ = block.pairs(24, often)
+        return list(zip(to.tolist(), block.words[u].tolist(), block.words[w].tolist(), n.tolist()))
+
+    whole = pairs(quality.block_of(t))
+    for now in range(quality.ROUNDS):
+        block = quality.share(t, 24, often, now)
+        assert pairs(block) == [p for p in whole if p[0] % quality.ROUNDS == now]
+        assert 0 < len(block.word) < len(t.word) / 2
+    none = quality.tokens(np.zeros(0, np.uint8), np.zeros(2, np.int64), ["n"])
+    assert pairs(quality.share(none, 24, often, 0)) == []
+
+
 @pytest.mark.parametrize("kept", [lambda df: common.cut(df), lambda df: common.cut(df, 5000)])
 def test_cut_leaves_no_shuffle(spark, kept):
     """Nor does a frame whose lineage is cut; one that is persisted below it keeps its own."""
